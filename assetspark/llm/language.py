@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Training texts a language at most, one for each slot of a hash of the id; bytes of a dictionary.
-SLOTS, DICTIONARY = 256, 1 << 17
+SLOTS, DICTIONARY = 256, 1 << 18
 #: Compression level; margin, as a share of the compressed size, at which a verdict is rejected and the scale of the score.
-LEVEL, NARROW, SCALE = 3, 0.01, 0.05
+LEVEL, NARROW, SCALE = 6, 0.01, 0.05
 _OTHER = re.compile(r"[\W\d_]+")
 
 
