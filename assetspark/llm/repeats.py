@@ -126,12 +126,13 @@ def _batches(columns: list[list], types: list[pa.DataType], names: list[str]) ->
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """(k, t, n_removed, n_spans, kept) of the rows that lose bytes.
 
     ``k`` and ``t`` are as ``keyed`` gives them.  Texts shorter than ``length``
     never lose any.  Rows with equal id and text are told apart when strings are
-    counted and share one result.
+    counted and share one result.  ``kept`` has bytes, or with ``as_text`` their
+    characters without those that were cut in half.
     """
     rows = docs.select(*_key(id_col, text_col))
 
@@ -239,14 +240,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 rest = b"".join(out)
                 removed.append(len(data) - len(rest))
                 runs.append(n)
-                kept.append(rest)
+                kept.append(rest.decode(errors="ignore") if as_text else rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())],
                 names=["k", "t", "n_removed", "n_spans", "kept"],
             )
 
+    kind = "string" if as_text else "binary"
     texts = held.select("k", "t", "text").join(cover, ["k", "t"])
-    return saved(texts.mapInArrow(remove, "k bigint, t bigint, n_removed bigint, n_spans bigint, kept binary").dropDuplicates(["k", "t"]))
+    return saved(texts.mapInArrow(remove, f"k bigint, t bigint, n_removed bigint, n_spans bigint, kept {kind}").dropDuplicates(["k", "t"]))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +263,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``n_chars`` is renewed.  Columns named ``k``, ``t`` or as the results would
     clash and may not be in ``docs``.
     """
-    changed = repeats(docs).select("k", "t", F.decode(F.col("kept"), "UTF-8").alias("_kept"))
+    changed = repeats(docs, as_text=True).select("k", "t", F.col("kept").alias("_kept"))
     both = keyed(docs).join(changed, ["k", "t"], "left").withColumn("_new", F.coalesce("_kept", "text"))
     return both.select(*[F.col("_new").alias("text") if c == "text" else F.length("_new").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
