@@ -47,7 +47,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     out = steps[0]
     for step in steps[1:]:
         out = (
-            out.join(step.withColumnsRenamed({"node": "root", "root": "next"}), "root", "left")
+            out.join(step.toDF("root", "next"), "root", "left")
             .select("node", F.coalesce("next", "root").alias("root"))
         )
     return checkpointed(out) if len(steps) > 1 else out
