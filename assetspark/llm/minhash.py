@@ -7,7 +7,8 @@
    each class is first compared with the bucket's smallest class only.  Buckets
    whose classes then still lie in several components compare classes of
    different components, so no link between components is lost and groups of
-   near copies are never expanded into all their pairs.
+   near copies are never expanded into all their pairs.  Those comparisons are
+   of signatures, within a task; only the most alike pairs leave it.
 3. A candidate's signatures are compared batch by batch.  It is dropped once the
    posterior probability that its similarity reaches the threshold falls below
    ``MISS``; what survives is verified on the full shingle sets.
@@ -36,6 +37,8 @@ BANDS, ROWS = 30, 6
 #: Signature values compared at a time, and the posterior probability at which a pair is dropped.
 BATCH, MISS = 36, 1e-7
 WORD_CACHE = 500_000
+#: Classes of a bucket compared at a time, and others that one of them asks for in a round.
+BLOCK, ASKS = 1024, 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,6 +223,68 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _ask(rows: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
+    """Untested pairs (a, b) of classes that share a bucket but no component, and pass the posterior bounds.
+
+    Buckets are compared in blocks of at most ``BLOCK`` classes, by signature,
+    where they lie; a class asks for at most ``ASKS`` others of a block pair and
+    round, the most alike first.  What is left over is asked for in later rounds
+    unless it has come into the same component by then, so large groups of near
+    copies stay linear and nothing is lost.
+    """
+    blocks = rows.join(classes.select("fp", "sig"), "fp").join(tested, "fp", "left").select(
+        "band", "a", "fp", "root", "sig", "tested", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+        F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"),
+    )
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = blocks.withColumn("pair", F.explode(pair))
+    key = F.struct("band", "pair.i", "pair.j")
+    sorted_ = dealt.select(key.alias("key"), "block", "fp", "root", "sig", "tested", "a").repartition("key").sortWithinPartitions("key", "fp")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        last = None
+
+        def flush() -> list[tuple[bytes, bytes]]:
+            fps = [g[1] for g in group]
+            roots = {r: k for k, r in enumerate(dict.fromkeys(g[2] for g in group))}
+            root = np.array([roots[g[2]] for g in group])
+            side = np.array([g[0] for g in group])
+            sig = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
+            done = [set(g[4] or ()) for g in group]
+            out = []
+            for k in range(len(group)):
+                if fps[k] == group[k][5]:
+                    continue  # the bucket's smallest class was compared with all at first
+                other = np.arange(k + 1, len(group))
+                other = other[root[other] != root[k]]
+                if last["i"] != last["j"]:
+                    other = other[side[other] != side[k]]
+                if len(other):
+                    keep = other[survives(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other])]
+                    found = [j for j in keep.tolist() if fps[j] not in done[k]]
+                    if len(found) > ASKS:
+                        like = (sig[found] == sig[k]).sum(axis=1)
+                        found = [found[q] for q in np.argsort(-like, kind="stable")[:ASKS]]
+                    out += [(fps[k], fps[j]) for j in found]
+            return out
+
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if last != row[0] and group:
+                    out += flush()
+                    group = []
+                last = row[0]
+                group.append(row[1:])
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+        if group:
+            out = flush()
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return saved(sorted_.mapInArrow(ask, "a binary, b binary").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -240,23 +305,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = member.where("a <> b").select("a", "b").distinct()
     links = _links(stars, classes, docs)
 
-    roots = components(links)
-    placed = saved(
-        member.join(roots.withColumnRenamed("node", "b"), "b", "left")
-        .select("band", "a", "b", F.coalesce("root", "b").alias("root"))
-    )
-    mixed = saved(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"))
-    left = saved(placed.join(mixed, "band"))
-    rest = (
-        left.select("band", "a", F.col("b").alias("x"), F.col("root").alias("rx"))
-        .join(left.select("band", F.col("b").alias("y"), F.col("root").alias("ry")), "band")
-        .where("x < y AND rx <> ry AND x <> a")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    if not left.isEmpty():
-        links = links.union(_links(saved(rest), classes, docs))
+    # each round lets a class ask its most alike untested classes of other components of its buckets
+    roots, tested = components(links), stars.limit(0)
+    while True:
+        placed = saved(
+            member.join(roots.withColumnRenamed("node", "b"), "b", "left").select("band", "a", F.col("b").alias("fp"), F.coalesce("root", "b").alias("root"))
+        )
+        mixed = saved(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n"))
+        if mixed.isEmpty():
+            break
+        known = tested.groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("tested"))
+        asks = _ask(saved(placed.join(mixed, "band")), classes, saved(known))
+        if asks.isEmpty():
+            break
+        links, tested = saved(links.union(_links(asks, classes, docs))), saved(tested.union(asks))
         roots = components(links)
 
     roots = roots.withColumnRenamed("node", "fp")
