@@ -4,14 +4,16 @@
    MinHash signature.  Texts with the same set form a class; only one row a
    class goes on, so exact copies cost nothing later.
 2. Classes that share a band of the signature are candidates.  Within a bucket
-   each class is first compared with the bucket's smallest class only.  Buckets
-   whose classes then still lie in several components compare classes of
-   different components, so no link between components is lost and groups of
-   near copies are never expanded into all their pairs.  Those comparisons are
-   of signatures, within a task; only the most alike pairs leave it.
-3. A candidate's signatures are compared batch by batch.  It is dropped once the
+   their signatures are compared batch by batch; a pair is dropped once the
    posterior probability that its similarity reaches the threshold falls below
-   ``MISS``; what survives is verified on the full shingle sets.
+   ``MISS``.  Of the pairs that stay only a spanning forest leaves the task: its
+   components are clusters that hold every possible link.
+3. Within a cluster, pairs that the bounds keep are verified on the full shingle
+   sets unless they are connected already, and again a forest of the links
+   leaves the task.
+
+Buckets and clusters of any size are compared in blocks, so no task gets more
+than two blocks, and no step makes more rows than it has read.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ BANDS, ROWS = 30, 6
 #: Signature values compared at a time, and the posterior probability at which a pair is dropped.
 BATCH, MISS = 36, 1e-7
 WORD_CACHE = 500_000
-#: Classes of a bucket compared at a time, and others that one of them asks for in a round.
-BLOCK, ASKS = 1024, 4
+#: Classes compared at a time: by signature in a bucket, by their full sets in a cluster.
+BLOCK, SET_BLOCK = 1024, 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,109 +182,66 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) to the (a, b) that the posterior bounds keep."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            keep = pa.array(survives(a, b))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b) to the linked (a, b)."""
-    for batch in batches:
-        sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sides], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The candidate pairs of classes that are linked."""
-    sig = classes.select("fp", "sig")
-    likely = saved(
-        pairs.join(sig.withColumnsRenamed({"fp": "a", "sig": "sig_a"}), "a")
-        .join(sig.withColumnsRenamed({"fp": "b", "sig": "sig_b"}), "b")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_prune, "a binary, b binary")
-    )
-    ends = likely.select(F.col("a").alias("fp")).union(likely.select("b")).distinct()
-    asked = saved(classes.select("fp", "rep").join(ends, "fp"))
-    sets = (
-        docs.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id")
-        .select("fp", "text")
-        .mapInArrow(_sets, "fp binary, words binary")
-        .dropDuplicates(["fp"])
-    )
-    sets = saved(sets)
-    return saved(
-        likely.join(sets.withColumnsRenamed({"fp": "a", "words": "set_a"}), "a")
-        .join(sets.withColumnsRenamed({"fp": "b", "words": "set_b"}), "b")
-        .select("a", "b", "set_a", "set_b")
-        .mapInArrow(_verify, "a binary, b binary")
-    )
-
-
-def _ask(rows: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs (a, b) of classes that share a bucket but no component, and pass the posterior bounds.
-
-    Buckets are compared in blocks of at most ``BLOCK`` classes, by signature,
-    where they lie; a class asks for at most ``ASKS`` others of a block pair and
-    round, the most alike first.  What is left over is asked for in later rounds
-    unless it has come into the same component by then, so large groups of near
-    copies stay linear and nothing is lost.
+class _Forest:
+    """Pairs of one group's classes that connect parts of it not connected before."""
+
+    def __init__(self, rows: list[tuple], crossing: bool):
+        self.fps, self.crossing = [r[1] for r in rows], crossing
+        self.side = np.array([r[0] for r in rows])
+        self.sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.sets = [np.frombuffer(r[3], np.uint64) for r in rows] if len(rows[0]) > 3 else None
+
+    def edges(self) -> Iterator[tuple[bytes, bytes]]:
+        part = np.arange(len(self.fps))
+        for k in range(len(self.fps)):
+            later = np.arange(k + 1, len(self.fps))
+            later = later[part[later] != part[k]]
+            if self.crossing:
+                later = later[self.side[later] != self.side[k]]
+            if not len(later):
+                continue
+            likely = later[survives(np.broadcast_to(self.sig[k], (len(later), self.sig.shape[1])), self.sig[later])]
+            for j in likely.tolist():
+                if part[j] != part[k] and (self.sets is None or similar(self.sets[k], self.sets[j])):
+                    part[part == part[j]] = part[k]
+                    yield self.fps[k], self.fps[j]
+
+
+def _forests(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """(a, b): forests of the likely pairs, or with ``words`` of the links, within each ``group``.
+
+    ``rows`` has (group, n, fp, sig[, words]), where n is the group's size.  A
+    group is cut into blocks by hash, and each pair of blocks goes to one task.
     """
-    blocks = rows.join(classes.select("fp", "sig"), "fp").join(tested, "fp", "left").select(
-        "band", "a", "fp", "root", "sig", "tested", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"),
-    )
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = blocks.withColumn("pair", F.explode(pair))
-    key = F.struct("band", "pair.i", "pair.j")
-    sorted_ = dealt.select(key.alias("key"), "block", "fp", "root", "sig", "tested", "a").repartition("key").sortWithinPartitions("key", "fp")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+    count = F.ceil(F.col("n") / block)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = rows.withColumns({"blocks": count, "block": F.pmod(F.xxhash64("fp"), count)}).withColumn("pair", F.explode(pair))
+    columns = ["block", "fp", "sig", *(c for c in rows.columns if c == "words")]
+    dealt = dealt.select(F.struct(group, "pair.i", "pair.j").alias("key"), *columns).repartition("key").sortWithinPartitions("key", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
         last = None
 
-        def flush() -> list[tuple[bytes, bytes]]:
-            fps = [g[1] for g in group]
-            roots = {r: k for k, r in enumerate(dict.fromkeys(g[2] for g in group))}
-            root = np.array([roots[g[2]] for g in group])
-            side = np.array([g[0] for g in group])
-            sig = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
-            done = [set(g[4] or ()) for g in group]
-            out = []
-            for k in range(len(group)):
-                if fps[k] == group[k][5]:
-                    continue  # the bucket's smallest class was compared with all at first
-                other = np.arange(k + 1, len(group))
-                other = other[root[other] != root[k]]
-                if last["i"] != last["j"]:
-                    other = other[side[other] != side[k]]
-                if len(other):
-                    keep = other[survives(np.broadcast_to(sig[k], (len(other), sig.shape[1])), sig[other])]
-                    found = [j for j in keep.tolist() if fps[j] not in done[k]]
-                    if len(found) > ASKS:
-                        like = (sig[found] == sig[k]).sum(axis=1)
-                        found = [found[q] for q in np.argsort(-like, kind="stable")[:ASKS]]
-                    out += [(fps[k], fps[j]) for j in found]
-            return out
+        def edges(key: dict, rows_: list[tuple]) -> list[tuple[bytes, bytes]]:
+            return list(_Forest(rows_, key["i"] != key["j"]).edges()) if len(rows_) > 1 else []
+
+        def out(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                if last != row[0] and group:
-                    out += flush()
-                    group = []
-                last = row[0]
-                group.append(row[1:])
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
-        if group:
-            out = flush()
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+            found: list[tuple[bytes, bytes]] = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+                if key != last and waiting:
+                    found += edges(last, waiting)
+                    waiting = []
+                last = key
+                waiting.append(tuple(row))
+            yield out(found)
+        if waiting:
+            yield out(edges(last, waiting))
 
-    return saved(sorted_.mapInArrow(ask, "a binary, b binary").distinct())
+    return saved(dealt.mapInArrow(run, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,26 +259,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     )
     banded = classes.select("fp", F.explode("bands").alias("band"))
-    shared = saved(banded.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    member = saved(banded.join(shared, "band").select("band", "a", F.col("fp").alias("b")))
-    stars = member.where("a <> b").select("a", "b").distinct()
-    links = _links(stars, classes, docs)
-
-    # each round lets a class ask its most alike untested classes of other components of its buckets
-    roots, tested = components(links), stars.limit(0)
-    while True:
-        placed = saved(
-            member.join(roots.withColumnRenamed("node", "b"), "b", "left").select("band", "a", F.col("b").alias("fp"), F.coalesce("root", "b").alias("root"))
-        )
-        mixed = saved(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n"))
-        if mixed.isEmpty():
-            break
-        known = tested.groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("tested"))
-        asks = _ask(saved(placed.join(mixed, "band")), classes, saved(known))
-        if asks.isEmpty():
-            break
-        links, tested = saved(links.union(_links(asks, classes, docs))), saved(tested.union(asks))
-        roots = components(links)
+    shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    member = saved(banded.join(shared, "band"))
+    likely = _forests(member.join(classes.select("fp", "sig"), "fp").select("band", "n", "fp", "sig"), "band", BLOCK)
+
+    clusters = saved(components(likely).toDF("fp", "cluster"))
+    sizes = saved(clusters.groupBy("cluster").agg(F.count("*").alias("n")))
+    placed = saved(clusters.join(classes.select("fp", "rep", "sig"), "fp").join(sizes, "cluster"))
+    sets = (
+        docs.join(placed.select("fp", F.col("rep").alias("doc_id")), "doc_id")
+        .select("fp", "text")
+        .mapInArrow(_sets, "fp binary, words binary")
+        .dropDuplicates(["fp"])
+    )
+    links = _forests(placed.select("cluster", "n", "fp", "sig").join(saved(sets), "fp").select("cluster", "n", "fp", "sig", "words"), "cluster", SET_BLOCK)
+    roots = components(links)
 
     roots = roots.withColumnRenamed("node", "fp")
     led = classes.select("fp", "rep").join(roots, "fp")
