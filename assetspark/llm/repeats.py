@@ -19,7 +19,7 @@ belong to strings that chose it, its context, are bounded.
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +116,22 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[tuple[i
     return out
 
 
+def _sharing(group: list[tuple], length: int) -> list[tuple]:
+    """The contexts that may share a string with another one of their group.
+
+    A string that starts well before the anchor holds the bytes on its left, any
+    other one those on its right; contexts alone with both need no sorting.
+    """
+    reach = (length - GRAM) // 2
+    sides = []
+    for *_, data, mid in group:
+        left = (0, data[mid - reach : mid + GRAM]) if mid >= reach else None
+        right = (1, data[mid : mid + length - reach]) if len(data) >= mid + length - reach else None
+        sides.append([x for x in (left, right) if x])
+    seen = Counter(x for some in sides for x in some)
+    return [row for row, some in zip(group, sides, strict=True) if any(seen[x] > 1 for x in some)]
+
+
 def _key(id_col: str, text_col: str) -> list[Column]:
     """A row's id and the hash of its text, so that rows that share an id stay apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -169,7 +185,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for text, some in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     data = text.encode()
                     for x in some:
@@ -184,37 +200,48 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                                     key = xxhash.xxh3_64_intdigest(core, (x["h"] + s - first) & (1 << 63) - 1)
                                     bands.append((low, high + length, key - (1 << 64) if key >> 63 else key))
                         for s, e, key in bands:
-                            for col, v in zip(out, (key, x["h"], x["c"], s - a, data[s:e]), strict=True):
+                            for col, v in zip(out, (key, x["h"], x["c"], s - a, data[s:e], x["p"] - s), strict=True):
                                 col.append(v)
                         if sum(map(len, out[4][-64:])) > 1 << 24:
-                            yield _batches(out, [pa.int64()] * 3 + [pa.int32(), pa.binary()], ["g", "h", "c", "off", "data"])
-                            out = [[], [], [], [], []]
-                yield _batches(out, [pa.int64()] * 3 + [pa.int32(), pa.binary()], ["g", "h", "c", "off", "data"])
+                            yield _batches(out, [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int32()], ["g", "h", "c", "off", "data", "mid"])
+                            out = [[], [], [], [], [], []]
+                yield _batches(out, [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int32()], ["g", "h", "c", "off", "data", "mid"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple[int, int, int, int]] = []
+        keys: list[tuple[int, int, int]] = []
         texts: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             spans = repeated_starts(texts, length)
-            cols = [[keys[i][1] for i, _, _ in spans], [keys[i][2] for i, _, _ in spans], [keys[i][3] + a for i, a, _ in spans], [keys[i][3] + b for i, _, b in spans]]
+            cols = [[keys[i][0] for i, _, _ in spans], [keys[i][1] for i, _, _ in spans], [keys[i][2] + a for i, a, _ in spans], [keys[i][2] + b for i, _, b in spans]]
             keys.clear()
             texts.clear()
             return _batches(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["h", "c", "lo", "hi"])
 
-        for batch in batches:
-            for g, h, c, off, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if size > TEXT and keys[-1][0] != g:
-                    yield flush()
-                    size = 0
-                keys.append((g, h, c, off))
+        group: list[tuple] = []
+
+        def take() -> None:
+            nonlocal size
+            for _, h, c, off, data, _ in _sharing(group, length):
+                keys.append((h, c, off))
                 texts.append(data)
                 size += len(data)
+            group.clear()
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if group and group[-1][0] != row[0]:
+                    take()
+                    if size > TEXT:
+                        yield flush()
+                        size = 0
+                group.append(row)
+        take()
         if keys:
             yield flush()
 
-    parts = held.where("asked IS NOT NULL").select("text", "asked").mapInArrow(contexts, "g bigint, h bigint, c bigint, off int, data binary")
+    parts = held.where("asked IS NOT NULL").select("text", "asked").mapInArrow(contexts, "g bigint, h bigint, c bigint, off int, data binary, mid int")
     flagged = saved(parts.repartition("g").sortWithinPartitions("g").mapInArrow(sort, "h bigint, c bigint, lo int, hi int"))
     whole = classes.where("copies > 1").select("h", "c", F.lit(0).alias("lo"), (F.col("size") - length).alias("hi"))
     marked = saved(flagged.union(whole))
