@@ -6,48 +6,64 @@ with those longest matches, accepts a token only when it is compatible with the
 token before it (no merge would have crossed or changed their border), tries
 the next shorter entry otherwise and steps back when none is left.  Each
 position is tried once for each token start, so the work is linear in the word.
-Compatibility of two adjacent tokens is memoised.
+Compatibility of two adjacent tokens is memoised.  Most words need no step back:
+their longest matches, each from where the one before ends, all fit together,
+and no other tokens of a word do.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Encoded words kept by each Python worker; more make it start afresh.
-WORD_CACHE = 300_000
+#: Encoded words, and pairs of tokens, kept by each Python worker: at so many, those not used since the last time go.
+WORD_CACHE, PAIR_CACHE = 200_000, 200_000
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> list[bytes]:
+    """The tokens of a rank file, by rank: all that decoding needs."""
+    ids = {}
+    with open(path, "rb") as lines:
+        for line in lines:
+            if line.strip():
+                token, rank = line.split()
+                ids[int(rank)] = base64.b64decode(token)
+    return [ids.get(k, b"") for k in range(max(ids) + 1)]
+
+
+def decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
 class Bpe:
-    """The encoder and decoder of one rank file."""
+    """The encoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         import ahocorasick
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.ids: dict[bytes, int] = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    self.ids[base64.b64decode(token)] = int(rank)
-        self.tokens = [b""] * (max(self.ids.values()) + 1)
+        self.tokens = vocabulary(path)
+        self.ids = {token: rank for rank, token in enumerate(self.tokens) if token}
         self.trie = ahocorasick.Automaton()
         for token, rank in self.ids.items():
-            self.tokens[rank] = token
             self.trie.add_word(token.decode("latin-1"), rank)
         self.trie.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.lengths = [len(t) for t in self.tokens]
+        self.fits: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.aged: dict[str, bytes] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: list[tuple[int, int]] = [(i, i) for i in range(len(self.tokens))]
         self.shorter = [self._prefix(t) for t in self.tokens]
@@ -96,47 +112,49 @@ class Bpe:
                         return True
 
     def _fit(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) >= PAIR_CACHE:
                 self.fits.clear()
-            known = self.fits[left, right] = self._compatible(left, right)
+            known = self.fits[pair] = self._compatible(left, right)
         return known
 
-    def _word(self, data: bytes) -> tuple[int, ...]:
+    def _word(self, data: bytes) -> list[int]:
         whole = self.ids.get(data)
         if whole is not None:
-            return (whole,)
-        longest = [-1] * len(data)
-        for end, rank in self.trie.iter(data.decode("latin-1")):
-            longest[end + 1 - len(self.tokens[rank])] = rank
-        size, at, out = len(data), 0, []
+            return [whole]
+        size, lengths, fit = len(data), self.lengths, self._fit
+        text = data.decode("latin-1")
+        out = [rank for _, rank in self.trie.iter_long(text)]
+        if sum(map(lengths.__getitem__, out)) == size and all(map(fit, out, out[1:])):
+            return out
+        longest = [-1] * size
+        for end, rank in self.trie.iter(text):
+            longest[end + 1 - lengths[rank]] = rank
+        at, out = 0, []
         open_ = bytearray(b"\x01") * (size + 1)
         token = longest[0]
         while at < size:
             if token < 0:  # nothing fits from here: give back the last token
                 open_[at] = 0
                 last = out.pop()
-                at -= len(self.tokens[last])
+                at -= lengths[last]
                 token = self.shorter[last]
                 continue
-            end = at + len(self.tokens[token])
-            if open_[end] and (not out or self._fit(out[-1], token)):
+            end = at + lengths[token]
+            if open_[end] and (not out or fit(out[-1], token)):
                 out.append(token)
                 at = end
                 token = longest[at] if at < size else -1
             else:
                 token = self.shorter[token]
-        return tuple(out)
-
-    def word(self, piece: str) -> tuple[int, ...]:
-        """The ids of one match of the pattern."""
-        return self._word(piece.encode())
+        return out
 
     #: A blank with white space on both sides, or before the end: matches may then cross it.
     _tangled = re.compile(r"\s (?:\s|\Z)")
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of ``text``, each match of the pattern encoded separately.
 
         Matches never cross a blank that starts a word, so the text is cut
@@ -144,27 +162,23 @@ class Bpe:
         meet other white space are matched as one piece.
         """
         if self._tangled.search(text):
-            return [i for m in self.pattern.finditer(text) for i in self._known(m[0])]
-        first, *rest = text.split(" ")
-        out: list[int] = []
-        words = self.words
-        for piece in ([first] if first else []) + [" " + x for x in rest]:
-            ids = words.get(piece)
-            out += self._known(piece) if ids is None else ids
-        return out
-
-    def _known(self, piece: str) -> tuple[int, ...]:
-        ids = self.words.get(piece)
-        if ids is None:
-            ids = tuple(i for m in self.pattern.findall(piece) for i in self._word(m.encode()))
+            pieces = [m[0] for m in self.pattern.finditer(text)]
+        else:
+            first, *rest = text.split(" ")
+            pieces = ([first] if first else []) + [" " + x for x in rest]
+        get, known = self.words.get, self._known
+        return np.frombuffer(b"".join([get(x) or known(x) for x in pieces]), np.int32)
+
+    def _known(self, piece: str) -> bytes:
+        out = self.aged.get(piece)
+        if out is None:
+            ids = [i for m in self.pattern.findall(piece) for i in self._word(m.encode())]
+            out = array("i", ids).tobytes()
+        if len(piece) <= 256:
             if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            if len(piece) <= 256:
-                self.words[piece] = ids
-        return ids
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+                self.aged, self.words = self.words, {}
+            self.words[piece] = out
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -174,39 +188,40 @@ def model(path: str, pattern: str) -> Bpe:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
 ) -> DataFrame:
     """(id_col, ids array<int>) for each row; a null text counts as empty.
 
-    Rows pass through one Arrow map without a shuffle.  Other columns of
-    ``docs`` are not read, so their names cannot clash.  Repeated rows give
-    repeated results and an empty table an empty one.
+    With ``decoded`` the ids are decoded again in the same pass, which spares a
+    second Python worker for each task.  Rows pass through one Arrow map without
+    a shuffle.  Other columns of ``docs`` are not read, so their names cannot
+    clash.  Repeated rows give repeated results and an empty table an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [bpe.encode(x) if x else [] for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"]
-                )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [bpe.encode(x or "") for x in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if decoded:
+                    columns.append(pa.array([decode(bpe.tokens, x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
-def decode_documents(
-    encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids"
-) -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids, decoded binary): the bytes of each row's ids; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path, pattern)
+        tokens = vocabulary(path)
         for batch in batches:
-            data = [bpe.decode(x) if x else b"" for x in batch.column(1).to_pylist()]
+            data = [b"" if x is None else b"".join(map(tokens.__getitem__, x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=[id_col, "ids", "decoded"]
             )
@@ -221,8 +236,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = table(spark, sf_dir, "documents")
-    return decode_documents(encode_documents(docs, path, pattern), path, pattern).select(
+    return encode_documents(table(spark, sf_dir, "documents"), path, pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

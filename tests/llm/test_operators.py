@@ -58,8 +58,10 @@ def test_bpe_equals_the_library(docs, empty, texts):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = by_id(bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN), path, P.PATTERN))
+    got = by_id(bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN), path))
+    once = by_id(bpe.encode_documents(docs, path, P.PATTERN, decoded=True))
     for k, t in enumerate(texts):
+        assert once[k] == got[k]
         assert list(got[k].ids) == known.encode_ordinary(t or "")
         assert bytes(got[k].decoded) == (t or "").encode()
     assert bpe.encode_documents(empty, path, P.PATTERN).count() == 0
