@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,14 +30,19 @@ SEQUENCE = 2048
 BLOCK_TOKENS = 4_000_000
 #: Cost of a document of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
+#: Words kept by each Python worker: at so many, those not used since the last time go.
 WORD_CACHE = 300_000
+#: A mark between a letter and white space is split off by the pre-tokenizer in any case.
+MARK = re.compile(r"(?<=[a-z])[.,;:!?](?=\s|\Z)")
 
 
 class WordTokenizer:
     """Ids of a tokenizer that drops white space, looked up word by word.
 
     Its pre-tokenizer never joins text across white space, so a word between
-    white space has the same ids in any context.  Texts with the control
+    white space has the same ids in any context.  It lower-cases, and splits
+    marks off words, so both are done here first: fewer words differ then.
+    Texts with the control
     characters that Python but not the tokenizer's pattern takes as white space,
     or with special tokens, go to the tokenizer whole.
     """
@@ -48,6 +54,7 @@ class WordTokenizer:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
         self.words: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     def encode(self, text: str, end: bytes) -> np.ndarray:
         """The ids of ``text`` as little-endian unsigned integers, with ``end`` after them."""
@@ -56,17 +63,22 @@ class WordTokenizer:
             return np.frombuffer(np.asarray(ids, "<u4").tobytes() + end, "<u4")
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        parts = text.split()
-        known = self.words
-        if missing := [w for w in set(parts) if w not in known]:
-            if len(known) + len(missing) > WORD_CACHE:
-                known.clear()
-                missing = list(set(parts))
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)) + end, "<u4")
+        parts = MARK.sub(r" \g<0>", text.encode().lower().decode()).split()
+        if missing := set(parts).difference(self.words):
+            if len(self.words) + len(missing) > WORD_CACHE:
+                self.aged, self.words = self.words, {}
+                missing = set(parts)
+            known, aged, new = self.words, self.aged, []
+            for w in missing:
+                if (ids := aged.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    known[w] = array("I", e.ids).tobytes()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, parts)) + end, "<u4")
 
 
 @lru_cache(maxsize=2)
