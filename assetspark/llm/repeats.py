@@ -36,6 +36,8 @@ LENGTH = 200
 GRAM, TEXT, BAND = 64, 300_000, 16
 #: Anchors of one hash from which a group is dealt again by its strings' common bytes.
 LARGE = 2_000
+#: Spans held before they leave a task.
+KNOWN = 50_000
 #: Bytes hashed at a time; only bounds memory.
 SEGMENT = 1 << 22
 
@@ -116,20 +118,38 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[tuple[i
     return out
 
 
-def _sharing(group: list[tuple], length: int) -> list[tuple]:
-    """The contexts that may share a string with another one of their group.
+def _sharing(group: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]:
+    """What of a group's contexts may repeat: parts to sort as (h, c, offset, bytes), and spans known to.
 
-    A string that starts well before the anchor holds the bytes on its left, any
-    other one those on its right; contexts alone with both need no sorting.
+    Strings whose starts, counted from the anchor, lie in one band of BAND all
+    hold the bytes in the band's middle, so a context that is alone with those
+    needs no sorting there.  The bands that stay are joined to parts.  One copy
+    of equal parts is sorted, and none if the group has no other part.
     """
-    reach = (length - GRAM) // 2
-    sides = []
+    reach = length - GRAM
+    banded, seen = [], Counter()
     for *_, data, mid in group:
-        left = (0, data[mid - reach : mid + GRAM]) if mid >= reach else None
-        right = (1, data[mid : mid + length - reach]) if len(data) >= mid + length - reach else None
-        sides.append([x for x in (left, right) if x])
-    seen = Counter(x for some in sides for x in some)
-    return [row for row, some in zip(group, sides, strict=True) if any(seen[x] > 1 for x in some)]
+        some = []
+        for s in range(-reach, 1, BAND):
+            low, high = max(0, mid + s), min(len(data) - length, mid + s + BAND - 1)
+            if low <= high:
+                some.append((low, high, (s, data[mid + min(s + BAND - 1, 0) : mid + s + length])))
+        seen.update(x for _, _, x in some)
+        banded.append(some)
+    parts: dict[tuple[int, bytes], list[tuple]] = {}
+    for (_, h, c, off, data, mid), some in zip(group, banded, strict=True):
+        runs: list[list[int]] = []
+        for low, high, x in some:
+            if seen[x] > 1:
+                if runs and runs[-1][1] == low - 1:
+                    runs[-1][1] = high
+                else:
+                    runs.append([low, high])
+        for low, high in runs:
+            parts.setdefault((low - mid, data[low : high + length]), []).append((h, c, off + low, off + high))
+    known = [span for same in parts.values() if len(same) > 1 for span in same]
+    sort = [(*same[0][:3], data) for (_, data), same in parts.items()] if len(parts) > 1 else []
+    return sort, known
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -210,20 +230,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int, int]] = []
         texts: list[bytes] = []
+        done: list[tuple[int, int, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            spans = repeated_starts(texts, length)
-            cols = [[keys[i][0] for i, _, _ in spans], [keys[i][1] for i, _, _ in spans], [keys[i][2] + a for i, a, _ in spans], [keys[i][2] + b for i, _, b in spans]]
-            keys.clear()
-            texts.clear()
+            done.extend((*keys[i][:2], keys[i][2] + a, keys[i][2] + b) for i, a, b in repeated_starts(texts, length))
+            cols = [[x[k] for x in done] for k in range(4)]
+            for used in (keys, texts, done):
+                used.clear()
             return _batches(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["h", "c", "lo", "hi"])
 
         group: list[tuple] = []
 
         def take() -> None:
             nonlocal size
-            for _, h, c, off, data, _ in _sharing(group, length):
+            some, known = _sharing(group, length)
+            done.extend(known)
+            for h, c, off, data in some:
                 keys.append((h, c, off))
                 texts.append(data)
                 size += len(data)
@@ -233,12 +256,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if group and group[-1][0] != row[0]:
                     take()
-                    if size > TEXT:
+                    if size > TEXT or len(done) > KNOWN:
                         yield flush()
                         size = 0
                 group.append(row)
         take()
-        if keys:
+        if keys or done:
             yield flush()
 
     parts = held.where("asked IS NOT NULL").select("text", "asked").mapInArrow(contexts, "g bigint, h bigint, c bigint, off int, data binary, mid int")
