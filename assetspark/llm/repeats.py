@@ -8,9 +8,11 @@ belong to strings that chose it, its context, are bounded.
 1. One pass over the texts gives each anchor's hash and its context's hash.
 2. Anchors whose hash occurs once are done.  Where all contexts of a hash are
    equal, all their strings repeat.
-3. Different contexts under one hash are sorted with ``suffix_array`` a few
+3. Of different contexts under one hash, the parts where they share the bytes
+   that nearby strings have in common are sorted with ``suffix_array`` a few
    hundred kilobytes at a time, one copy of each; neighbours that agree on
-   ``length`` bytes repeat.  Hashes with very many anchors are dealt again by
+   ``length`` bytes repeat.  Contexts alone with those bytes are not sorted, and
+   neither are parts that are all equal, as those repeat throughout.  Hashes with very many anchors are dealt again by
    the bytes that strings of nearby starts have in common, so no task ever
    gets more than one such group's share.
 4. Texts come in once to give contexts, and those with repeats once more to
@@ -36,6 +38,8 @@ LENGTH = 200
 GRAM, TEXT, BAND = 64, 300_000, 16
 #: Anchors of one hash from which a group is dealt again by its strings' common bytes.
 LARGE = 2_000
+#: Starts looked at together before sorting.
+FINE = 4
 #: Spans held before they leave a task.
 KNOWN = 50_000
 #: Bytes hashed at a time; only bounds memory.
@@ -94,34 +98,36 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 
 def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(context, first, last): runs of starts whose string occurs twice or more here."""
-    symbols, limits = [], []
-    at = 0
-    for c in contexts:
-        symbols += [np.frombuffer(c, np.uint8).astype(np.int32) + 1, np.zeros(1, np.int32)]
-        limits.append((at, at + len(c)))
-        at += len(c) + 1
     if not contexts:
         return []
-    sa = suffix_array(np.concatenate(symbols))
-    joined = b"\0".join(contexts)
-    edge = np.repeat([e for _, e in limits], [e - s + 1 for s, e in limits])
-    room = edge[sa] - sa >= length
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    ends = np.cumsum(sizes + 1) - 1  # where the separators are
+    joined = b"\0".join(contexts) + b"\0"
+    symbols = np.frombuffer(joined, np.uint8).astype(np.int32) + 1
+    symbols[ends] = 0
+    sa = suffix_array(symbols)
+    room = np.repeat(ends, sizes + 1)[sa] - sa >= length
     both = np.flatnonzero(room[1:] & room[:-1])
-    flag = np.zeros(at, bool)
-    for k, a, b in zip(both.tolist(), sa[both].tolist(), sa[both + 1].tolist(), strict=True):
-        if joined[a : a + length] == joined[b : b + length]:
-            flag[a] = flag[b] = True
-    out = []
-    for i, (s, e) in enumerate(limits):
-        mine = np.flatnonzero(np.diff(np.concatenate([[False], flag[s:e], [False]]).astype(np.int8)))
-        out += [(i, int(a), int(b) - 1) for a, b in zip(mine[::2], mine[1::2], strict=True)]
-    return out
+    a, b = sa[both], sa[both + 1]
+    if len(a):
+        word = np.ascontiguousarray(np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,)))
+        for k in (length - 8, *range((length - 8) // 8 * 8, -1, -8)):  # neighbours differ late, if at all
+            same = word[a + k] == word[b + k]
+            a, b = a[same], b[same]
+    flag = np.zeros(len(joined) + 1, np.int8)
+    flag[a] = flag[b] = 1
+    # a run ends before its context does, as the last starts have no room
+    step = np.diff(flag, prepend=0)
+    first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
+    of = np.searchsorted(ends, first)
+    begin = (ends - sizes)[of]
+    return list(zip(of.tolist(), (first - begin).tolist(), (last - begin).tolist(), strict=True))
 
 
 def _sharing(group: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]:
     """What of a group's contexts may repeat: parts to sort as (h, c, offset, bytes), and spans known to.
 
-    Strings whose starts, counted from the anchor, lie in one band of BAND all
+    Strings whose starts, counted from the anchor, lie in one band of FINE all
     hold the bytes in the band's middle, so a context that is alone with those
     needs no sorting there.  The bands that stay are joined to parts.  One copy
     of equal parts is sorted, and none if the group has no other part.
@@ -130,10 +136,10 @@ def _sharing(group: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]
     banded, seen = [], Counter()
     for *_, data, mid in group:
         some = []
-        for s in range(-reach, 1, BAND):
-            low, high = max(0, mid + s), min(len(data) - length, mid + s + BAND - 1)
+        for s in range(-reach, 1, FINE):
+            low, high = max(0, mid + s), min(len(data) - length, mid + s + FINE - 1)
             if low <= high:
-                some.append((low, high, (s, data[mid + min(s + BAND - 1, 0) : mid + s + length])))
+                some.append((low, high, (s, data[mid + min(s + FINE - 1, 0) : mid + s + length])))
         seen.update(x for _, _, x in some)
         banded.append(some)
     parts: dict[tuple[int, bytes], list[tuple]] = {}
