@@ -25,10 +25,15 @@ from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style template noscript iframe object svg math textarea select option button head title canvas audio video".split())
+RAW = frozenset("script style template noscript iframe svg textarea select option button head title audio video".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    # formulas, which stand in a sentence
+    "math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split()
 )
+#: Elements that may stand in a head; any other one closes it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements that an opening tag of the same group closes.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Where that closing stops.
@@ -43,7 +48,7 @@ GROUPS = {
     "edge": "header footer",
     "side": "aside dialog",
     "form": "form fieldset label input",
-    "box": "div section figure figcaption details",
+    "box": "div section figure figcaption details object canvas",
     "inline": " ".join(sorted(INLINE)),
 }
 GROUP = {tag: k for k, tags in enumerate(GROUPS.values(), 1) for tag in tags.split()}
@@ -79,11 +84,13 @@ def parse(html: str) -> Node:
     at, size = 0, len(html)
     while at < size:
         m = _TAG.search(html, at)
+        text = html[at : m.start() if m else size]
+        if node.tag == "head" and text and not text.isspace():
+            node = node.up
+        if text:
+            node.parts.append(text)
         if not m:
-            node.parts.append(html[at:])
             break
-        if m.start() > at:
-            node.parts.append(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -95,6 +102,8 @@ def parse(html: str) -> Node:
             if up.tag == tag and up.up:
                 node = up.up
             continue
+        if node.tag == "head" and tag not in HEAD:
+            node = node.up
         for other in CLOSES.get(tag, ()):
             up = node
             while up.up and up.tag != other and up.tag not in SCOPE:
