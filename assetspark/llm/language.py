@@ -1,7 +1,7 @@
 """Language identification by compression (operator 4).
 
-Each language gets a zstandard raw-content dictionary of sample texts.  A text
-goes to the language whose dictionary compresses the whole of it best; how much
+Each language gets a zstandard raw-content dictionary of pieces of sample texts,
+taken by hash from anywhere in them.  A text goes to the language whose dictionary compresses the whole of it best; how much
 better than the next one gives the score, and a narrow margin marks the verdict
 as rejected.
 """
@@ -13,15 +13,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 #: Training texts a language at most, one for each slot of a hash of the id; bytes of a dictionary.
 SLOTS, DICTIONARY = 256, 1 << 18
 #: Compression level; margin, as a share of the compressed size, at which a verdict is rejected and the scale of the score.
 LEVEL, NARROW, SCALE = 6, 0.01, 0.05
+#: A piece ends at one word in so many, chosen by the word; letters of a word that are never divided.
+PIECE, LETTERS = 16, 64
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -30,6 +32,18 @@ def normal(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
+def pieces(text: str) -> list[str]:
+    """``normal`` text in pieces that end at words chosen by content, so equal passages give equal pieces wherever they stand."""
+    out, some = [], []
+    for word in normal(text).split():
+        for at in range(0, len(word), LETTERS):
+            some.append(part := word[at : at + LETTERS])
+            if zlib.crc32(part.encode()) % PIECE == 0 or len(some) == 4 * PIECE:
+                out.append(" ".join(some))
+                some = []
+    return out + [" ".join(some)] * bool(some)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
 
@@ -37,27 +51,57 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language, from at most ``SLOTS`` texts of it.
 
-    Rows with a null text or language, and the held-out ones, are not used.  The
-    text of a slot is the one of the smallest hash, found by map-side minima, so
-    a language with a third of all rows costs no more than a small one.
+    Rows with a null text or language, texts without a letter, and the held-out
+    ones, are not used.  The text of a slot is the one of the smallest hash, found
+    by map-side minima, so a language with a third of all rows costs no more than a
+    small one.  Chosen texts are read whole.  Of their distinct pieces those found
+    in one language only are used (all, where a language has none of its own), in
+    order of their hash and as many of each text until the dictionary is full.
     """
     rank = F.xxhash64(F.col(id_col), F.lit(5))
     chosen = (
         docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-        .where(F.length(text_col) > 0)
+        .where(F.col(text_col).rlike(r"\p{L}"))
         .groupBy(F.col(lang_col).cast("string").alias("lang"), F.pmod(rank, F.lit(SLOTS)).alias("slot"))
         .agg(F.min(F.struct(rank.alias("h"), F.col(id_col).alias("id"))).alias("m"))
         .select("lang", "m.id")
     )
-    picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, 16384).alias("text")).join(F.broadcast(chosen), ["id", "lang"])
-    texts: dict[str, list] = {}
-    for row in picked.orderBy("lang", "id").collect():
-        if t := normal(row["text"] or ""):
-            texts.setdefault(row["lang"], []).append(t.encode())
+    picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), ["id", "lang"])
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                some = sorted(set(pieces(text or "")))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), batch.schema.field(0).type), pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string())], names=["id", "lang", "piece"])
+
+    kind = picked.schema["id"].dataType.simpleString()
+    divided = picked.select("id", "lang", "text").mapInArrow(divide, f"id {kind}, lang string, piece string")
+    # one text of each language holds a piece, however many do
+    owned = divided.groupBy("piece", "lang").agg(F.min("id").alias("id")).groupBy("piece").agg(F.collect_list(F.struct("lang", "id")).alias("at"))
+    known = saved(owned.select("piece", (F.size("at") == 1).alias("own"), F.inline("at")))
+    learned = [r["lang"] for r in known.where("own").select("lang").distinct().collect()]
+    known = known.where(F.col("own") | ~F.col("lang").isin(learned)).withColumn("bytes", F.octet_length("piece") + 1)
+    order = Window.partitionBy("lang", "id").orderBy(F.xxhash64("piece"), "piece")
+    ranked = known.withColumns({"k": F.row_number().over(order), "before": F.sum("bytes").over(order) - F.col("bytes")})
+    # nothing beyond the first full dictionary of a text can be used; levels keep what is collected near its size
+    total: dict[str, list[tuple[int, int]]] = {}
+    for r in ranked.where(F.col("before") < DICTIONARY).groupBy("lang", "k").agg(F.sum("bytes").alias("bytes")).collect():
+        total.setdefault(r["lang"], []).append((r["k"], r["bytes"]))
     out = {}
-    for lang, some in sorted(texts.items()):
-        share = max(256, DICTIONARY // len(some))
-        out[lang] = b" ".join(t[:share].decode(errors="ignore").encode() for t in some)[:DICTIONARY]
+    for lang, levels in sorted(total.items()):
+        size = last = 0
+        for last, more in sorted(levels):
+            size += more
+            if size >= DICTIONARY:
+                break
+        some = ranked.where((F.col("lang") == lang) & (F.col("k") <= last)).select("k", "piece").collect()
+        data, size = [], 0
+        for _, piece in sorted((r["k"], r["piece"]) for r in some):
+            if size + len(piece.encode()) + 1 > DICTIONARY:
+                break
+            data.append(piece)
+            size += len(piece.encode()) + 1
+        out[lang] = " ".join(data).encode()
     return out
 
 
