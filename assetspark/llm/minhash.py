@@ -13,7 +13,7 @@
    leaves the task.
 
 Buckets and clusters of any size are compared in blocks, so no task gets more
-than two blocks, and no step makes more rows than it has read.
+than two blocks; see ``_forests`` for what a large one costs.
 """
 
 from __future__ import annotations
@@ -140,12 +140,12 @@ def _fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, fp, sig, bands)."""
+    """(doc_id, text_hash, text) to (doc_id, text_hash, n_shingles, fp, sig, bands)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             rows: list[tuple] = []
-            for text in part.column(1).to_pylist():
+            for text in part.column(2).to_pylist():
                 s = shingles(text)
                 if len(s):
                     low = signature(s)
@@ -153,19 +153,20 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         int.from_bytes(hashlib.blake2b(low[k * ROWS : (k + 1) * ROWS].tobytes(), digest_size=8, salt=bytes([k])).digest(), "little", signed=True)
                         for k in range(BANDS)
                     ]
-                    rows.append((len(s), _fingerprint(s), (low >> np.uint64(56)).astype(np.uint8).tobytes(), keys))
+                    rows.append((len(s), _fingerprint(s), (low & np.uint64(0xFF)).astype(np.uint8).tobytes(), keys))
                 else:
                     rows.append((0, None, None, None))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array(cols[0], pa.int64()),
                     pa.array(cols[1], pa.binary()),
                     pa.array(cols[2], pa.binary()),
                     pa.array(cols[3], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "fp", "sig", "bands"],
+                names=["doc_id", "text_hash", "n_shingles", "fp", "sig", "bands"],
             )
 
 
@@ -185,79 +186,95 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Forest:
     """Pairs of one group's classes that connect parts of it not connected before."""
 
-    def __init__(self, rows: list[tuple], crossing: bool):
-        self.fps, self.crossing = [r[1] for r in rows], crossing
-        self.side = np.array([r[0] for r in rows])
-        self.sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        self.sets = [np.frombuffer(r[3], np.uint64) for r in rows] if len(rows[0]) > 3 else None
+    def __init__(self, rows: list[tuple]):
+        """``rows``: (side, part, fp, sig[, words]); null sides are compared with each other, else side 1 with side 0."""
+        self.fps = [r[2] for r in rows]
+        self.side = None if rows[0][0] is None else np.array([r[0] for r in rows])
+        self.part = np.arange(len(rows)) if self.side is None else np.unique([r[1].hex() for r in rows], return_inverse=True)[1]
+        self.sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.sets = [np.frombuffer(r[4], np.uint64) for r in rows] if len(rows[0]) > 4 else None
 
     def edges(self) -> Iterator[tuple[bytes, bytes]]:
-        part = np.arange(len(self.fps))
-        for k in range(len(self.fps)):
-            later = np.arange(k + 1, len(self.fps))
-            later = later[part[later] != part[k]]
-            if self.crossing:
-                later = later[self.side[later] != self.side[k]]
-            if not len(later):
+        part, every = self.part, np.arange(len(self.fps))
+        for k in every if self.side is None else every[self.side == 1]:
+            others = every[k + 1 :] if self.side is None else every[self.side == 0]
+            others = others[part[others] != part[k]]
+            if not len(others):
                 continue
-            likely = later[survives(np.broadcast_to(self.sig[k], (len(later), self.sig.shape[1])), self.sig[later])]
+            likely = others[survives(np.broadcast_to(self.sig[k], (len(others), self.sig.shape[1])), self.sig[others])]
             for j in likely.tolist():
                 if part[j] != part[k] and (self.sets is None or similar(self.sets[k], self.sets[j])):
                     part[part == part[j]] = part[k]
                     yield self.fps[k], self.fps[j]
 
 
-def _forests(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """(a, b): forests of the likely pairs, or with ``words`` of the links, within each ``group``.
-
-    ``rows`` has (group, n, fp, sig[, words]), where n is the group's size.  A
-    group is cut into blocks by hash, and each pair of blocks goes to one task.
-    """
-    count = F.ceil(F.col("n") / block)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = rows.withColumns({"blocks": count, "block": F.pmod(F.xxhash64("fp"), count)}).withColumn("pair", F.explode(pair))
-    columns = ["block", "fp", "sig", *(c for c in rows.columns if c == "words")]
-    dealt = dealt.select(F.struct(group, "pair.i", "pair.j").alias("key"), *columns).repartition("key").sortWithinPartitions("key", "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        last = None
-
-        def edges(key: dict, rows_: list[tuple]) -> list[tuple[bytes, bytes]]:
-            return list(_Forest(rows_, key["i"] != key["j"]).edges()) if len(rows_) > 1 else []
-
-        def out(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, side, part, fp, sig[, words]), sorted by key, to the edges of each key's forest."""
+    waiting: list[tuple] = []
+    last = None
 
-        for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
-                if key != last and waiting:
-                    found += edges(last, waiting)
-                    waiting = []
-                last = key
-                waiting.append(tuple(row))
-            yield out(found)
-        if waiting:
-            yield out(edges(last, waiting))
+    def out(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
-    return saved(dealt.mapInArrow(run, "a binary, b binary"))
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+            if key != last and waiting:
+                found += _Forest(waiting).edges()
+                waiting = []
+            last = key
+            waiting.append(tuple(row))
+        yield out(found)
+    if waiting:
+        yield out(list(_Forest(waiting).edges()))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+def _forests(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """(a, b): forests of the likely pairs, or with ``words`` of the links, within each ``group``.
 
-    Null and empty texts, and texts without words, have no shingles and link
-    with nothing.  Rows that share an id are judged each by its own text.  Only
-    the two named columns are read.  An empty table gives an empty result.
+    ``rows`` has (group, n, fp, sig[, words]), where n is the group's size.  A
+    group larger than ``block`` is cut into blocks by hash, which are joined up
+    within themselves first.  Then only classes outside the group's largest
+    component so far meet the group's other blocks: s of those and n rows cost
+    about n * s comparisons and n * (1 + s / block) + s * n / block rows, so a
+    large group whose members are near copies of each other costs rows in
+    proportion to its size.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(docs.mapInArrow(_profile, "doc_id bigint, n_shingles bigint, fp binary, sig binary, bands array<bigint>"))
-    classes = saved(
-        rows.where("fp IS NOT NULL")
-        .groupBy("fp")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    )
+    columns = ["fp", "sig", *(c for c in rows.columns if c == "words")]
+    blocks = F.ceil(F.col("n") / block)
+    own = F.pmod(F.xxhash64("fp"), blocks)
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compared, "a binary, b binary")
+
+    alone = F.lit(None)
+    near = saved(compared(rows.select(F.struct(group, own.alias("i"), F.lit(0).alias("j")).alias("key"), alone.cast("int").alias("side"), alone.cast("binary").alias("part"), *columns)))
+    large = rows.where(F.col("n") > block)
+    if large.limit(1).isEmpty():
+        return near
+    joined = components(near).toDF("fp", "part")
+    large = saved(large.join(joined, "fp", "left").withColumn("part", F.coalesce("part", "fp")))
+    sizes = large.groupBy(group, "part").agg(F.count("*").alias("size"))
+    most = saved(sizes.groupBy(group).agg(F.max_by("part", F.struct("size", "part")).alias("most"), (F.sum("size") - F.max("size")).alias("rest")).where("rest > 0"))
+    large = large.join(most, group)
+    chunks = F.ceil(F.col("rest") / block)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    sides = [
+        large.withColumns({"i": own, "j": upto(chunks), "side": F.lit(0)}),
+        large.where("part <> most").withColumns({"i": upto(blocks), "j": F.pmod(F.xxhash64("fp", F.lit(1)), chunks), "side": F.lit(1)}),
+    ]
+    far = [x.select(F.struct(group, "i", "j").alias("key"), "side", "part", *columns) for x in sides]
+    return saved(near.union(compared(far[0].union(far[1]))))
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n_shingles, fp) of (doc_id, text_hash, text), and (fp, label): equal labels, one component.
+
+    A label is (doc_id, text_hash) of the component's first row by id, nulls last.
+    """
+    rows = saved(docs.mapInArrow(_profile, "doc_id bigint, text_hash bigint, n_shingles bigint, fp binary, sig binary, bands array<bigint>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    classes = saved(rows.where("fp IS NOT NULL").groupBy("fp").agg(first.alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     banded = classes.select("fp", F.explode("bands").alias("band"))
     shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     member = saved(banded.join(shared, "band"))
@@ -266,26 +283,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = saved(components(likely).toDF("fp", "cluster"))
     sizes = saved(clusters.groupBy("cluster").agg(F.count("*").alias("n")))
     placed = saved(clusters.join(classes.select("fp", "rep", "sig"), "fp").join(sizes, "cluster"))
+    wanted = placed.select("fp", "rep").alias("p")
     sets = (
-        docs.join(placed.select("fp", F.col("rep").alias("doc_id")), "doc_id")
-        .select("fp", "text")
+        docs.alias("d")
+        .join(wanted, F.expr("d.text_hash = p.rep.text_hash AND d.doc_id <=> p.rep.doc_id"))
+        .select("p.fp", "d.text")
         .mapInArrow(_sets, "fp binary, words binary")
         .dropDuplicates(["fp"])
     )
-    links = _forests(placed.select("cluster", "n", "fp", "sig").join(saved(sets), "fp").select("cluster", "n", "fp", "sig", "words"), "cluster", SET_BLOCK)
-    roots = components(links)
-
-    roots = roots.withColumnRenamed("node", "fp")
+    verified = saved(placed.select("cluster", "n", "fp", "sig").join(sets, "fp").select("cluster", "n", "fp", "sig", "words"))
+    roots = components(_forests(verified, "cluster", SET_BLOCK)).toDF("fp", "root")
     led = classes.select("fp", "rep").join(roots, "fp")
     lead = led.groupBy("root").agg(F.min("rep").alias("least"))
     moved = saved(roots.join(lead, "root").select("fp", "least"))
-    labels = saved(classes.select("fp", "rep").join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
+    labels = saved(classes.select("fp", "rep").join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("label")))
+    return rows.select("doc_id", "text_hash", "n_shingles", "fp"), labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Null and empty texts, and texts without words, have no shingles and link
+    with nothing.  Rows that share an id are judged each by its own text.  A
+    null id is no component's id unless all of its rows have none; those are
+    kept.  Only the two named columns are read.  An empty table gives an empty
+    result.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    rows, labels = _labelled(docs)
     return (
-        rows.select("doc_id", "n_shingles", "fp")
-        .join(labels, "fp", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        rows.join(labels, "fp", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("label.doc_id")).alias("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (nulls last), of its texts the first by hash, of its equal rows any one.
+
+    Rows are judged by id and text, so a row that shares its id with a near copy
+    stays if its own text is of another component.  Rows without words (null
+    and empty texts among them) all stay.  All columns are returned as they
+    are; none may be named ``_near_id`` or ``_near_hash``, which raises
+    ``ValueError``.  An empty table gives an empty result.
+    """
+    if clash := {"_near_id", "_near_hash"}.intersection(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are used inside")
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    rows, labels = _labelled(docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")))
+    key = ["_near_id", "_near_hash"]
+    found = (
+        rows.join(labels, "fp")
+        .groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(key[0]), F.col("text_hash").alias(key[1]))
+        .agg(F.count("*").alias("copies"), F.first((F.col("label.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("label.text_hash") == F.col("text_hash"))).alias("leads"))
     )
+    odd = saved(found.where("NOT leads OR copies > 1"))
+    docs = docs.withColumns({key[0]: F.coalesce(id_, F.lit(-(1 << 63))), key[1]: F.xxhash64(text)})
+    alone = docs.join(odd.select(*key), key, "left_anti")
+    one = docs.join(odd.where("leads").select(*key), key, "left_semi").dropDuplicates(key)
+    return alone.union(one).drop(*key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
