@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, scratched, table
 
-#: Training texts a language at most, one for each slot of a hash of the id; bytes of a dictionary.
-SLOTS, DICTIONARY = 256, 1 << 18
+#: Training texts a language at most, one for each slot of a hash of the id; bytes of a dictionary; languages learned.
+SLOTS, DICTIONARY, LANGUAGES = 256, 1 << 18, 256
 #: Compression level; margin, as a share of the compressed size, at which a verdict is rejected and the scale of the score.
 LEVEL, NARROW, SCALE = 6, 0.01, 0.05
 #: A piece ends at one word in so many, chosen by the word; letters of a word that are never divided.
@@ -28,8 +28,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def normal(text: str) -> str:
-    """Lower-case letters with single blanks between runs of them."""
-    return _OTHER.sub(" ", text.lower()).strip()
+    """Lower-case letters with single blanks between runs of them; empty where the text has no letter."""
+    return _OTHER.sub(" ", text.lower()).strip() if any(map(str.isalpha, text)) else ""
 
 
 def pieces(text: str) -> list[str]:
@@ -48,9 +48,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
 
 
+@scratched
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language, from at most ``SLOTS`` texts of it.
 
+    Of more than ``LANGUAGES`` values of the language column those with the most
+    filled slots are learned, so what is sent around and collected is bounded.
+
     Rows with a null text or language, texts without a letter, and the held-out
     ones, are not used.  The text of a slot is the one of the smallest hash, found
     by map-side minima, so a language with a third of all rows costs no more than a
@@ -66,6 +70,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .agg(F.min(F.struct(rank.alias("h"), F.col(id_col).alias("id"))).alias("m"))
         .select("lang", "m.id")
     )
+    chosen = saved(chosen)
+    most = [r["lang"] for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    chosen = chosen.where(F.col("lang").isin(most))  # at most LANGUAGES * SLOTS rows
     picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), ["id", "lang"])
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import release, saved, scratched, table
 from .graph import components
 
 #: Words of a shingle; intersection / union that links, as a fraction of whole numbers.
@@ -195,7 +195,8 @@ class _Forest:
         self.sets = [np.frombuffer(r[4], np.uint64) for r in rows] if len(rows[0]) > 4 else None
 
     def edges(self) -> Iterator[tuple[bytes, bytes]]:
-        part, every = self.part, np.arange(len(self.fps))
+        """Stars about the least member of each part that grew."""
+        first, part, every = self.part.copy(), self.part.copy(), np.arange(len(self.fps))
         for k in every if self.side is None else every[self.side == 1]:
             others = every[k + 1 :] if self.side is None else every[self.side == 0]
             others = others[part[others] != part[k]]
@@ -205,7 +206,15 @@ class _Forest:
             for j in likely.tolist():
                 if part[j] != part[k] and (self.sets is None or similar(self.sets[k], self.sets[j])):
                     part[part == part[j]] = part[k]
-                    yield self.fps[k], self.fps[j]
+        heads: dict[int, dict[int, bytes]] = {}
+        for k, fp in enumerate(self.fps):  # one member stands for all that were of one part before
+            old = heads.setdefault(part[k], {})
+            old[first[k]] = min(fp, old.get(first[k], fp))
+        for old in heads.values():
+            least = min(old.values())
+            for fp in old.values():
+                if fp != least:
+                    yield least, fp
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +238,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(list(_Forest(waiting).edges()))
 
 
-def _forests(rows: DataFrame, group: str, block: int) -> DataFrame:
+def _forests(rows: DataFrame, sizes: DataFrame, group: str, block: int) -> DataFrame:
     """(a, b): forests of the likely pairs, or with ``words`` of the links, within each ``group``.
 
-    ``rows`` has (group, n, fp, sig[, words]), where n is the group's size.  A
-    group larger than ``block`` is cut into blocks by hash, which are joined up
+    ``rows`` has (group, n, fp, sig[, words]), where n is the group's size, as ``sizes`` has
+    it.  A group larger than ``block`` is cut into blocks by hash, which are joined up
     within themselves first.  Then only classes outside the group's largest
     component so far meet the group's other blocks: s of those and n rows cost
     about n * s comparisons and n * (1 + s / block) + s * n / block rows, so a
@@ -249,13 +258,13 @@ def _forests(rows: DataFrame, group: str, block: int) -> DataFrame:
 
     alone = F.lit(None)
     near = saved(compared(rows.select(F.struct(group, own.alias("i"), F.lit(0).alias("j")).alias("key"), alone.cast("int").alias("side"), alone.cast("binary").alias("part"), *columns)))
-    large = rows.where(F.col("n") > block)
-    if large.limit(1).isEmpty():
+    if sizes.where(F.col("n") > block).isEmpty():
         return near
+    large = rows.where(F.col("n") > block)
     joined = components(near).toDF("fp", "part")
     large = saved(large.join(joined, "fp", "left").withColumn("part", F.coalesce("part", "fp")))
-    sizes = large.groupBy(group, "part").agg(F.count("*").alias("size"))
-    most = saved(sizes.groupBy(group).agg(F.max_by("part", F.struct("size", "part")).alias("most"), (F.sum("size") - F.max("size")).alias("rest")).where("rest > 0"))
+    parts = large.groupBy(group, "part").agg(F.count("*").alias("size"))
+    most = saved(parts.groupBy(group).agg(F.max_by("part", F.struct("size", "part")).alias("most"), (F.sum("size") - F.max("size")).alias("rest")).where("rest > 0"))
     large = large.join(most, group)
     chunks = F.ceil(F.col("rest") / block)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -272,13 +281,16 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A label is (doc_id, text_hash) of the component's first row by id, nulls last.
     """
-    rows = saved(docs.mapInArrow(_profile, "doc_id bigint, text_hash bigint, n_shingles bigint, fp binary, sig binary, bands array<bigint>"))
+    profiles = saved(docs.mapInArrow(_profile, "doc_id bigint, text_hash bigint, n_shingles bigint, fp binary, sig binary, bands array<bigint>"))
+    rows = saved(profiles.drop("sig", "bands"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
-    classes = saved(rows.where("fp IS NOT NULL").groupBy("fp").agg(first.alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = saved(profiles.where("fp IS NOT NULL").groupBy("fp").agg(first.alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    release(profiles)
     banded = classes.select("fp", F.explode("bands").alias("band"))
     shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     member = saved(banded.join(shared, "band"))
-    likely = _forests(member.join(classes.select("fp", "sig"), "fp").select("band", "n", "fp", "sig"), "band", BLOCK)
+    likely = _forests(member.join(classes.select("fp", "sig"), "fp").select("band", "n", "fp", "sig"), shared, "band", BLOCK)
+    release(member, shared)
 
     clusters = saved(components(likely).toDF("fp", "cluster"))
     sizes = saved(clusters.groupBy("cluster").agg(F.count("*").alias("n")))
@@ -292,14 +304,15 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .dropDuplicates(["fp"])
     )
     verified = saved(placed.select("cluster", "n", "fp", "sig").join(sets, "fp").select("cluster", "n", "fp", "sig", "words"))
-    roots = components(_forests(verified, "cluster", SET_BLOCK)).toDF("fp", "root")
+    roots = components(_forests(verified, sizes, "cluster", SET_BLOCK)).toDF("fp", "root")
     led = classes.select("fp", "rep").join(roots, "fp")
     lead = led.groupBy("root").agg(F.min("rep").alias("least"))
     moved = saved(roots.join(lead, "root").select("fp", "least"))
     labels = saved(classes.select("fp", "rep").join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("label")))
-    return rows.select("doc_id", "text_hash", "n_shingles", "fp"), labels
+    return rows, labels
 
 
+@scratched
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -311,13 +324,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     rows, labels = _labelled(docs)
-    return (
+    found = (
         rows.join(labels, "fp", "left")
         .select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("label.doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+    return saved(found, keep=True)
 
 
+@scratched
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest id (nulls last), of its texts the first by hash, of its equal rows any one.
 
@@ -337,7 +352,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(key[0]), F.col("text_hash").alias(key[1]))
         .agg(F.count("*").alias("copies"), F.first((F.col("label.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("label.text_hash") == F.col("text_hash"))).alias("leads"))
     )
-    odd = saved(found.where("NOT leads OR copies > 1"))
+    odd = saved(found.where("NOT leads OR copies > 1"), keep=True)
     docs = docs.withColumns({key[0]: F.coalesce(id_, F.lit(-(1 << 63))), key[1]: F.xxhash64(text)})
     alone = docs.join(odd.select(*key), key, "left_anti")
     one = docs.join(odd.where("leads").select(*key), key, "left_semi").dropDuplicates(key)

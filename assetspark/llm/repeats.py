@@ -13,31 +13,34 @@ belong to strings that chose it, its context, are bounded.
    hundred kilobytes at a time, one copy of each; neighbours that agree on
    ``length`` bytes repeat.  Contexts alone with those bytes are not sorted, and
    neither are parts that are all equal, as those repeat throughout.  Hashes with very many anchors are dealt again by
-   the bytes that strings of nearby starts have in common, so no task ever
-   gets more than one such group's share.
-4. Texts come in once to give contexts, and those with repeats once more to
-   lose them.
+   the bytes that strings of nearby starts have in common; beyond ``HUGE``
+   anchors each string is counted by its hash, with map-side sums, so no group
+   of any size is collected.
+4. Texts come in once to give anchors, once to give contexts, and once to lose
+   what repeats.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import saved, table
+from .common import release, saved, scratched, table
 from .suffixes import suffix_array
 
 LENGTH = 200
 #: Bytes of an anchor's gram, of a suffix array's text at most (beyond one group), and starts dealt together in large groups.
 GRAM, TEXT, BAND = 64, 300_000, 16
-#: Anchors of one hash from which a group is dealt again by its strings' common bytes.
-LARGE = 2_000
+#: Anchors of one hash from which a group is dealt again by its strings' common bytes, and from which each of its strings is counted alone.
+LARGE, HUGE = 2_000, 200_000
 #: Starts looked at together before sorting.
 FINE = 4
 #: Spans held before they leave a task.
@@ -158,25 +161,29 @@ def _sharing(group: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]
     return sort, known
 
 
-def _key(id_col: str, text_col: str) -> list[Column]:
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """A row's id and the hash of its text, so that rows that share an id stay apart."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"), text.alias("text")]
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(_text(text_col))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
 
 def _batches(columns: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """(k, t, n_removed, n_spans, kept) of the rows that lose bytes.
+@scratched
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, t, spans): what each row with repeats loses, as sets of byte spans that may overlap.
 
-    ``k`` and ``t`` are as ``keyed`` gives them.  Texts shorter than ``length``
-    never lose any.  Rows with equal id and text are told apart when strings are
-    counted and share one result.  ``kept`` has bytes, or with ``as_text`` their
-    characters without those that were cut in half.
+    ``k`` and ``t`` are a row's id and the hash of its text.  Texts shorter than
+    ``length`` never lose any.  Rows with equal id and text are told apart when
+    strings are counted and share one result.
     """
-    rows = docs.select(*_key(id_col, text_col))
+    k, t = _key(id_col, text_col)
+    rows = docs.select(k.alias("k"), t.alias("t"), _text(text_col).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,14 +205,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("h", "n", (F.col("lo") != F.col("hi")).alias("mixed"))
     )
     occurs = saved(found.join(groups, "h"))
+    release(found)
     classes = saved(
         occurs.where("mixed").groupBy("h", "c")
         .agg(F.count("*").alias("copies"), F.min(F.struct("k", "t", "p", "left", "size", "n")).alias("at"))
         .select("h", "c", "copies", "at.*")
     )
     asked = classes.groupBy("k", "t").agg(F.collect_list(F.struct("h", "c", "p", "left", "size", "n")).alias("asked"))
-    wanted = saved(occurs.select("k", "t").distinct().join(saved(asked), ["k", "t"], "left"))
-    held = saved(rows.join(wanted, ["k", "t"]))
+    held = rows.join(saved(asked), ["k", "t"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,6 +224,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                     for x in some:
                         a, b = x["p"] - x["left"], x["p"] - x["left"] + x["size"]
                         bands = [(a, b, x["h"])]
+                        if x["n"] > HUGE:
+                            continue
                         if x["n"] > LARGE:  # strings that start in a band share the bytes in its middle
                             first, bands = x["p"] - (length - GRAM), []
                             for s in range(first, x["p"] + 1, BAND):
@@ -270,8 +279,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         if keys or done:
             yield flush()
 
-    parts = held.where("asked IS NOT NULL").select("text", "asked").mapInArrow(contexts, "g bigint, h bigint, c bigint, off int, data binary, mid int")
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = text.encode()
+                for x in some:
+                    a = x["p"] - x["left"]
+                    if x["n"] > HUGE:
+                        each = range(x["size"] - length + 1)
+                        keys = [xxhash.xxh3_64_intdigest(data[a + i : a + i + length]) for i in each]
+                        yield _batches(
+                            [[v - (1 << 64) if v >> 63 else v for v in keys], [x["h"]] * len(keys), [x["c"]] * len(keys), list(each)],
+                            [pa.int64()] * 3 + [pa.int32()], ["g", "h", "c", "off"],
+                        )
+
+    parts = held.select("text", "asked").mapInArrow(contexts, "g bigint, h bigint, c bigint, off int, data binary, mid int")
     flagged = saved(parts.repartition("g").sortWithinPartitions("g").mapInArrow(sort, "h bigint, c bigint, lo int, hi int"))
+    if not groups.where((F.col("n") > HUGE) & F.col("mixed")).isEmpty():
+        each = saved(held.select("text", "asked").mapInArrow(singles, "g bigint, h bigint, c bigint, off int"))
+        twice = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+        flagged = flagged.union(each.join(twice, "g").select("h", "c", F.col("off").alias("lo"), F.col("off").alias("hi")))
     whole = classes.where("copies > 1").select("h", "c", F.lit(0).alias("lo"), (F.col("size") - length).alias("hi"))
     marked = saved(flagged.union(whole))
     begin = F.col("p") - F.col("left")
@@ -279,56 +306,73 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         occurs.where("NOT mixed").select("k", "t", begin.alias("s"), (begin + F.col("size")).alias("e"))
         .union(occurs.where("mixed").join(marked, ["h", "c"]).select("k", "t", (begin + F.col("lo")).alias("s"), (begin + F.col("hi") + length).alias("e")))
     )
-    cover = saved(spans.groupBy("k", "t").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    return saved(spans.groupBy("k", "t").agg(F.collect_set(F.struct("s", "e")).alias("spans")), keep=True)
+
+
+def _without(batches: Iterator[pa.RecordBatch], then: Callable[[bytes], object], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(row, text, spans) to (row, n_bytes, n_removed, n_spans, rest), where ``then`` makes rest of the bytes that stay."""
+    for batch in batches:
+        cols: list[list] = [[], [], [], []]
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            data, at, n, out = (text or "").encode(), -1, 0, []
+            last = 0
+            for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+                if s > at:
+                    n += 1
+                    out.append(data[last:s])
+                at = last = max(at, e)
+            out.append(data[last:])
+            rest = b"".join(out)
+            for col, v in zip(cols, (len(data), len(data) - len(rest), n, then(rest)), strict=True):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [kind], strict=True))],
+            names=["row", "n_bytes", "n_removed", "n_spans", "rest"],
+        )
+
+
+def _reduced(docs: DataFrame, spans: DataFrame, how: str, then: Callable[[bytes], object], kind: pa.DataType, id_col: str = "doc_id", text_col: str = "text", row: list[str] | None = None) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, rest) of the rows of ``docs`` that ``how`` joins with their spans."""
+    k, t = _key(id_col, text_col)
+    whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if row is None else row)])
+    both = docs.select(whole.alias("row"), k.alias("k"), t.alias("t"), F.col(f"`{text_col}`").cast("string").alias("text")).join(spans, ["k", "t"], how)
+    given = both.select("row", "text", "spans")
+    out = StructType([given.schema["row"], *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("rest", StringType() if kind == pa.string() else BinaryType())])
+    return given.mapInArrow(lambda batches: _without(batches, then, kind), out)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, n_removed, n_spans, kept) of the rows that lose bytes: id, counts, and the bytes that stay."""
+    return _reduced(docs, repeated_spans(docs, length, id_col, text_col), "inner", bytes, pa.binary(), id_col, text_col, [id_col]).select(
+        F.col("row").getField(id_col).alias("k"), "n_removed", "n_spans", F.col("rest").alias("kept")
+    )
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, runs, kept = [], [], []
-            for text, spans_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data, at, n, out = text.encode(), -1, 0, []
-                last = 0
-                for s, e in sorted((x["s"], x["e"]) for x in spans_):
-                    if s > at:
-                        n += 1
-                        out.append(data[last:s])
-                    at = last = max(at, e)
-                out.append(data[last:])
-                rest = b"".join(out)
-                removed.append(len(data) - len(rest))
-                runs.append(n)
-                kept.append(rest.decode(errors="ignore") if as_text else rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())],
-                names=["k", "t", "n_removed", "n_spans", "kept"],
-            )
-
-    kind = "string" if as_text else "binary"
-    texts = held.select("k", "t", "text").join(cover, ["k", "t"])
-    return saved(texts.mapInArrow(remove, f"k bigint, t bigint, n_removed bigint, n_spans bigint, kept {kind}").dropDuplicates(["k", "t"]))
-
-
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the key columns ``k`` and ``t`` that ``repeats`` uses."""
-    k, t, _ = _key(id_col, text_col)
-    return docs.withColumns({"k": k, "t": t})
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+
+def _characters(rest: bytes) -> str:
+    return rest.decode(errors="ignore")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` without their repeated bytes; characters cut in half go too.
 
-    ``n_chars`` is renewed.  Columns named ``k``, ``t`` or as the results would
-    clash and may not be in ``docs``.
+    ``n_chars`` is renewed for the rows that lose bytes.  All columns are
+    returned, whatever their names; null texts stay null, rows that are equal
+    all lose the same, an empty table stays empty.
     """
-    changed = repeats(docs, as_text=True).select("k", "t", F.col("kept").alias("_kept"))
-    both = keyed(docs).join(changed, ["k", "t"], "left").withColumn("_new", F.coalesce("_kept", "text"))
-    return both.select(*[F.col("_new").alias("text") if c == "text" else F.length("_new").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    done = _reduced(docs, repeated_spans(docs, length), "left", _characters, pa.string())
+    old, lost = F.col("row"), F.col("n_removed") > 0
+    new = {"text": F.when(lost, F.col("rest")).otherwise(old.getField("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(old.getField("n_chars"))
+    return done.select(*[new.get(c, old.getField(c)).alias(c) for c in docs.columns])
+
+
+def _digest(rest: bytes) -> bytes:
+    return sha256(rest).hexdigest().encode()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: what every document loses."""
     docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    base = keyed(docs).select("doc_id", "k", "t", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    lost = repeats(docs).select("k", "t", "n_removed", "n_spans", F.sha2("kept", 256).alias("rest"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return base.join(lost, ["k", "t"], "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("rest", "whole").alias("kept_sha256"))
+    done = _reduced(docs, repeated_spans(docs), "left", _digest, pa.binary(), row=["doc_id"])
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("rest").cast("string").alias("kept_sha256"))
