@@ -61,11 +61,10 @@ def saved(df: DataFrame, keep: bool = False) -> DataFrame:
 
 def release(*frames: DataFrame) -> None:
     """Removes the files of saved tables, and lets Spark drop the shuffles that made them."""
-    paths = [f.saved_path for f in frames]
-    spark = frames[0].sparkSession
-    for path in paths:
+    for path in [f.saved_path for f in frames]:
         _remove(path)
-    _collect(spark)
+    if spark := SparkSession.getActiveSession():
+        _collect(spark)
 
 
 def scratched(made: Callable) -> Callable:

@@ -60,65 +60,137 @@ BAD_WORDS = frozenset(
     "sponsored subscribe tags toolbar top widget widgets complementary contentinfo toc teaser outbrain taboola".split()
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main post prose story text page paragraph copy".split())
-FEATURES = 24
+FEATURES = 26
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a short heading over what readers wrote.
+READERS = frozenset("comment comments reply replies response responses discussion kommentar kommentare commentaire commentaires comentarios commenti".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_MARK = re.compile("[>\"']")
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=50_000)
+def _kinds(word: str) -> tuple[int, int]:
+    """Whether a token is, begins or ends with a word of either list; short ones count only whole."""
+    def of(known: frozenset[str]) -> int:
+        return int(word in known or any(word[:k] in known or word[-k:] in known for k in range(5, len(word))))
+
+    return of(BAD_WORDS), of(GOOD_WORDS)
+
+
 class Node:
-    __slots__ = ("tag", "words", "up", "parts", "depth", "index", "own", "text", "links", "below", "marks", "row")
+    __slots__ = ("tag", "words", "up", "block", "scope", "parts", "depth", "index", "own", "text", "links", "below", "marks", "row", "named")
 
     def __init__(self, tag: str, words: tuple[str, ...], up: Node | None):
         self.tag, self.words, self.up = tag, words, up
+        #: The nearest element above that is not inline, and the depth of the nearest one, itself included, where implied closing stops.
+        self.block: Node | None = None if up is None else up.block if up.tag in INLINE else up
         self.parts: list[Node | str] = []
         self.depth = up.depth + 1 if up else 0
-        self.index = self.own = self.text = self.links = self.below = self.marks = self.row = 0
+        self.scope = self.depth if tag in SCOPE or up is None else up.scope
+        self.index = self.own = self.text = self.links = self.below = self.marks = self.row = self.named = 0
+
+
+class _Tags:
+    """Where tags end: at the first ``>`` outside quotes; a quote that nothing closes is a character like others.
+
+    Every quoted part is walked over once, whatever the tags are, so the time is
+    in proportion to the page.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()
+
+    def after(self, at: int) -> int:
+        """The place after the next ``>``, or -1."""
+        return self.html.find(">", at) + 1 if at <= self.last[">"] else -1
+
+    def end(self, at: int) -> int:
+        """The place after the tag whose name ends at ``at``; -1 if there is no ``>`` at all."""
+        first = self.after(at) - 1
+        if first < 0:
+            return -1
+        part = self.html[at:first]
+        for quote, other in (("\"", "'"), ("'", "\"")):
+            if other not in part and part.count(quote) % 2 == 0:
+                return first + 1
+        seen = []
+        while at <= self.last[">"] and (m := _MARK.search(self.html, at)):
+            if m.start() in self.dead:
+                break
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            at = self.html.find(m[0], m.end()) + 1 if m.start() < self.last[m[0]] else m.end()
+        self.dead.update(seen)
+        return first + 1  # all other ones are quoted
 
 
 def parse(html: str) -> Node:
     """The tree of ``html``: any string gives one, whatever its tags do."""
     root = node = Node("#root", (), None)
+    opened: dict[str, list[Node]] = {}
+    tags = _Tags(html)
     at, size = 0, len(html)
+
+    def leave(last: Node) -> None:
+        """Closes all up to ``last``."""
+        nonlocal node
+        while node is not last:
+            opened[node.tag].pop()
+            node = node.up
+        opened[node.tag].pop()
+        node = node.up
+
     while at < size:
-        m = _TAG.search(html, at)
+        m = _OPEN.search(html, at)
+        comment = m and m[0] == "<!--"
+        end = at
+        if comment:
+            close = html.find("-->", m.end())
+            end = close + 3 if close >= 0 else size
+        elif m:
+            end = tags.end(m.end()) if m[2] else tags.after(m.end())
+        if end < 0:  # nothing ends any more: the rest is text, up to a comment
+            far = html.find("<!--", m.end())
+            m, size = None, far if far >= 0 else size
         text = html[at : m.start() if m else size]
         if node.tag == "head" and text and not text.isspace():
-            node = node.up
+            leave(node)
         if text:
             node.parts.append(text)
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        at = end
+        if comment or not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up.up and up.tag != tag and not (tag in INLINE and up.tag not in INLINE):
-                up = up.up
-            if up.tag == tag and up.up:
-                node = up.up
+            if opened.get(tag) and not (tag in INLINE and node.tag not in INLINE):
+                last = opened[tag][-1]
+                if tag not in INLINE or last.depth > node.block.depth:
+                    leave(last)
             continue
         if node.tag == "head" and tag not in HEAD:
-            node = node.up
+            leave(node)
         for other in CLOSES.get(tag, ()):
-            up = node
-            while up.up and up.tag != other and up.tag not in SCOPE:
-                up = up.up
-            if up.tag == other:
-                node = up.up
+            if opened.get(other) and opened[other][-1].depth > node.scope:
+                leave(opened[other][-1])
         if tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else size
+            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = close.end() if close else size
             continue
-        attrs = m[3]
+        attrs = html[m.end() : end - 1]
         words = tuple(w for a in _ATTR.findall(attrs) for w in _WORD.findall((a[0] or a[1] or a[2]).lower())) if "=" in attrs else ()
         new = Node(tag, words, node)
         node.parts.append(new)
-        if tag not in VOID and not attrs.endswith("/") and new.depth < 400:
+        if tag not in VOID and not attrs.endswith("/"):
+            opened.setdefault(tag, []).append(new)
             node = new
     return root
 
@@ -130,7 +202,7 @@ def measure(root: Node) -> list[Node]:
     while stack:
         n = stack.pop()
         order.append(n)
-        k = 0
+        k = named = 0
         for p in n.parts:
             if isinstance(p, str):
                 size = len(p) - p.count(" ") if not p.isspace() else 0
@@ -139,6 +211,10 @@ def measure(root: Node) -> list[Node]:
             else:
                 p.index = k
                 k += 1
+                if p.tag in HEADINGS:
+                    words = " ".join(x for x in p.parts if isinstance(x, str)).lower().split()
+                    named = int(len(words) <= 4 and any(w.strip(":()0123456789") in READERS for w in words))
+                p.named = named
                 stack.append(p)
     for n in reversed(order):
         n.text += n.own
@@ -157,24 +233,22 @@ def measure(root: Node) -> list[Node]:
 def features(nodes: list[Node]) -> np.ndarray:
     """One row for each of ``measure``'s nodes."""
     out = np.zeros((len(nodes), FEATURES))
-    above: dict[int, tuple[int, int, int, int, int]] = {}
+    above: dict[int, tuple[int, int, int, int, int, int]] = {}
     total = max(1, nodes[0].text) if nodes else 1
     for k, n in enumerate(nodes):
         n.row = k
-        bad = sum(w in BAD_WORDS for w in n.words)
-        good = sum(w in GOOD_WORDS for w in n.words)
-        up = n.up
-        while up is not None and up.tag in INLINE:
-            up = up.up
-        b, g, nav, art, edge = above.get(id(up), (0, 0, 0, 0, 0))
+        bad = sum(_kinds(w)[0] for w in n.words)
+        good = sum(_kinds(w)[1] for w in n.words)
+        up = n.block
+        b, g, nav, art, edge, named = above.get(id(up), (0, 0, 0, 0, 0, 0))
         group = GROUP.get(n.tag, 0)
         side = n.tag in ("nav", "aside", "form", "menu", "dialog", "button", "select")
-        above[id(n)] = (b + (bad > 0), g + (good > 0), nav + side, art + (n.tag in ("article", "main")), edge + (group == 7))
+        above[id(n)] = (b + (bad > 0), g + (good > 0), nav + side, art + (n.tag in ("article", "main")), edge + (group == 7), named + n.named)
         kin = len(up.parts) if up else 1
         out[k] = (
             group, n.tag in RAW, bad, good, b, g, nav, art, edge, side, n.depth, n.index, kin, n.below,
             np.log1p(n.text), np.log1p(n.own), n.text / (n.below + 1), n.links / (n.text + 1), n.marks / (n.text + 1),
-            n.text / total, n.text / (up.text + 1) if up else 1.0, (up.text - n.text) / kin if up else 0.0, n.index / kin, len(n.words),
+            n.text / total, n.text / (up.text + 1) if up else 1.0, (up.text - n.text) / kin if up else 0.0, n.index / kin, len(n.words), n.named, named,
         )
     return out
 
@@ -184,15 +258,10 @@ def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
     best = score.copy()
     for k in range(len(nodes) - 1, 0, -1):
         if best[k] > 0:
-            up = nodes[k].up
-            while up.tag in INLINE:
-                up = up.up
-            best[up.row] += best[k]
+            best[nodes[k].block.row] += best[k]
     keep = np.zeros(len(nodes), bool)
     for k, n in enumerate(nodes):
-        up = n.up
-        while up is not None and up.tag in INLINE:
-            up = up.up
+        up = n.block
         keep[k] = n.tag not in RAW and (up is None or (keep[up.row] and best[k] > 0))
     return keep
 
@@ -259,8 +328,19 @@ def pages_for_training(count: int, seed: int = 3) -> Iterator[str]:
         return f"<{tag}{attr}>{inner()}</{tag}>"
 
     def comments() -> str:
-        each = "".join(f'<div class="comment"><b>{_sentence(rng, 1, 2)}</b><p>{_sentence(rng, 4, 40)}</p></div>' for _ in range(rng.randint(1, 5)))
-        return pick([f'<section id="comments"><h2>{_sentence(rng, 1, 3)}</h2>{each}</section>', f'<div class="comments-area">{each}</div>'])
+        wrote = lambda: pick([f"<p>{_sentence(rng, 1, 40)}</p>", _sentence(rng, 1, 40), f"<b>{_sentence(rng, 1, 2)}</b><p>{_sentence(rng, 4, 40)}</p>", f'<div class="author">{_sentence(rng, 1, 2)}</div><div>{_sentence(rng, 2, 60)}</div>'])
+        n = rng.randint(1, 5)
+        head = pick(["", f"<h2>{_sentence(rng, 1, 3)}</h2>", f"<{pick(sorted(HEADINGS))}>{pick(['', '3 ', 'All '])}{pick(sorted(READERS)).capitalize()}{pick(['', ':', ' (2)'])}</h2>"])
+        each = "".join(f'<div class="{pick(["comment", "comment", "reply", "response-body"])}">{wrote()}</div>' for _ in range(n))
+        items = "".join(f"<li{pick(['', ' class=comment', ' id=c1'])}>{wrote()}</li>" for _ in range(n))
+        listed = pick(["commentlist", "comment-list", "commentslist", "replies", "disqus_thread", "usercomments"])
+        return pick([
+            f'<section id="comments">{head}{each}</section>',
+            f'<div class="comments-area">{head}{each}</div>',
+            f'{head}<ol class="{listed}">{items}</ol>',
+            f'<div id="{listed}">{head}<ul>{items}</ul></div>',
+            f"<{(h := pick(sorted(HEADINGS)))}>{pick(sorted(READERS)).capitalize()}</{h}><ul>{items}</ul>",
+        ])
 
     def body() -> str:
         out = []

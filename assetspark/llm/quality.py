@@ -192,7 +192,11 @@ def learn(x: np.ndarray, bad: np.ndarray, halves: np.ndarray) -> list[Rule]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics, verdict and half of at most ``SAMPLE`` labelled rows."""
+    """Statistics, verdict and half of at most ``SAMPLE`` labelled rows.
+
+    Null ids and labels are left out.  Of labels that repeat an id the smallest
+    counts, of texts that repeat one the smallest too, so there is one row an id.
+    """
     chosen = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
         .where("_id IS NOT NULL AND _label IS NOT NULL")
@@ -200,7 +204,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(SAMPLE)
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col("text")).join(F.broadcast(chosen), "_id")
+    # the join has a row for each row of documents; an id that repeats is one row again before anything is collected
+    rows = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id").agg(F.first("_label").alias("_label"), F.min("text").alias("text"))
     # a filter on the counts would be pushed below the steps that make them, and make them anew
     rows = with_counts(rows).withColumn("_failed", base_failed())
     got = rows.select("_failed", "_label", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(3)) > 0).alias("half"), *[c.alias(f"f{k}") for k, c in enumerate(features().values())]).collect()
@@ -220,15 +226,19 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """``docs`` with its counts, ``base_failed`` and ``kept``.
 
     Empty and null texts fail the base rules.  Rows are judged one by one, so
-    repeated rows get the same verdict.
+    repeated rows get the same verdict.  Columns named as the results are
+    replaced, all others stay as they are, whatever their names.
     """
     used = {c.feature for r in rules for c in r}
-    counted = with_counts(docs).withColumns({f"_f_{k}": v for k, v in features().items() if k in used} or {"_f_": F.lit(0)})
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop(*[c for c in counted.columns if c.startswith("_f_")])
+    results = [*COUNTS, "base_failed", "kept"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    counted = with_counts(packed).withColumns({f"_f_{k}": v for k, v in features().items() if k in used} or {"_f_": F.lit(0)})
+    judged = counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return judged.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in results], *results)
 
 
 def rules_for(spark: SparkSession, sf_dir: str) -> list[Rule]:
