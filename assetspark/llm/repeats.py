@@ -28,10 +28,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import release, saved, scratched, table
 from .suffixes import suffix_array
@@ -309,43 +310,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return saved(spans.groupBy("k", "t").agg(F.collect_set(F.struct("s", "e")).alias("spans")), keep=True)
 
 
-def _without(batches: Iterator[pa.RecordBatch], then: Callable[[bytes], object], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """(row, text, spans) to (row, n_bytes, n_removed, n_spans, rest), where ``then`` makes rest of the bytes that stay."""
+def _without(batches: Iterator[pa.RecordBatch], then: Callable[[bytes], object]) -> Iterator[pa.RecordBatch]:
+    """(row, text, spans) to (row, text, n_removed, n_spans): ``then`` of the bytes that stay, for the rows with spans."""
     for batch in batches:
-        cols: list[list] = [[], [], [], []]
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            data, at, n, out = (text or "").encode(), -1, 0, []
+        some = batch.column(2).is_valid()
+        part = batch.filter(some)
+        cols: list[list] = [[], [], []]
+        for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            data, at, n, out = text.encode() if isinstance(text, str) else text, -1, 0, []
             last = 0
-            for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+            for s, e in sorted((x["s"], x["e"]) for x in spans):
                 if s > at:
                     n += 1
                     out.append(data[last:s])
                 at = last = max(at, e)
             out.append(data[last:])
             rest = b"".join(out)
-            for col, v in zip(cols, (len(data), len(data) - len(rest), n, then(rest)), strict=True):
+            for col, v in zip(cols, (then(rest), len(data) - len(rest), n), strict=True):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [kind], strict=True))],
-            names=["row", "n_bytes", "n_removed", "n_spans", "rest"],
-        )
+        none = pa.array([0] * batch.num_rows, pa.int64())
+        put = lambda old, new: pc.replace_with_mask(old, some, pa.array(new, old.type))
+        yield pa.RecordBatch.from_arrays([batch.column(0), put(batch.column(1), cols[0]), put(none, cols[1]), put(none, cols[2])], names=["row", "text", "n_removed", "n_spans"])
 
 
-def _reduced(docs: DataFrame, spans: DataFrame, how: str, then: Callable[[bytes], object], kind: pa.DataType, id_col: str = "doc_id", text_col: str = "text", row: list[str] | None = None) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, rest) of the rows of ``docs`` that ``how`` joins with their spans."""
+def _reduced(docs: DataFrame, spans: DataFrame, how: str, row: Column, text: Column, then: Callable[[bytes], object], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, text, n_removed, n_spans) of the rows of ``docs`` that ``how`` joins with their spans; ``text`` of those without spans is left alone."""
     k, t = _key(id_col, text_col)
-    whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if row is None else row)])
-    both = docs.select(whole.alias("row"), k.alias("k"), t.alias("t"), F.col(f"`{text_col}`").cast("string").alias("text")).join(spans, ["k", "t"], how)
+    both = docs.select(row.alias("row"), k.alias("k"), t.alias("t"), text.alias("text")).join(spans, ["k", "t"], how)
     given = both.select("row", "text", "spans")
-    out = StructType([given.schema["row"], *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("rest", StringType() if kind == pa.string() else BinaryType())])
-    return given.mapInArrow(lambda batches: _without(batches, then, kind), out)
+    out = StructType([given.schema["row"], given.schema["text"], *(StructField(c, LongType()) for c in ("n_removed", "n_spans"))])
+    return given.mapInArrow(lambda batches: _without(batches, then), out)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, n_removed, n_spans, kept) of the rows that lose bytes: id, counts, and the bytes that stay."""
-    return _reduced(docs, repeated_spans(docs, length, id_col, text_col), "inner", bytes, pa.binary(), id_col, text_col, [id_col]).select(
-        F.col("row").getField(id_col).alias("k"), "n_removed", "n_spans", F.col("rest").alias("kept")
-    )
+    spans, text = repeated_spans(docs, length, id_col, text_col), F.col(f"`{text_col}`").cast("string").cast("binary")
+    return _reduced(docs, spans, "inner", F.col(f"`{id_col}`"), text, bytes, id_col, text_col).select(F.col("row").alias("k"), "n_removed", "n_spans", F.col("text").alias("kept"))
 
 
 def _characters(rest: bytes) -> str:
@@ -359,20 +359,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     returned, whatever their names; null texts stay null, rows that are equal
     all lose the same, an empty table stays empty.
     """
-    done = _reduced(docs, repeated_spans(docs, length), "left", _characters, pa.string())
-    old, lost = F.col("row"), F.col("n_removed") > 0
-    new = {"text": F.when(lost, F.col("rest")).otherwise(old.getField("text"))}
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(others)])
+    done = _reduced(docs, repeated_spans(docs, length), "left", row, F.col("text").cast("string"), _characters)
+    new = {c: F.col("row").getField(str(k)) for k, c in enumerate(others)} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(lost, F.length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(old.getField("n_chars"))
-    return done.select(*[new.get(c, old.getField(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return done.select(*[new[c].alias(c) for c in docs.columns])
 
 
-def _digest(rest: bytes) -> bytes:
-    return sha256(rest).hexdigest().encode()
+def _digest(rest: bytes) -> str:
+    return sha256(rest).hexdigest()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: what every document loses."""
     docs = table(spark, sf_dir, "documents")
-    done = _reduced(docs, repeated_spans(docs), "left", _digest, pa.binary(), row=["doc_id"])
-    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("rest").cast("string").alias("kept_sha256"))
+    text = F.coalesce("text", F.lit(""))
+    whole = F.struct("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    done = _reduced(docs, repeated_spans(docs), "left", whole, F.col("text"), _digest)
+    return done.select("row.doc_id", "row.n_bytes", "n_removed", "n_spans", F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("row.sha")).alias("kept_sha256"))
