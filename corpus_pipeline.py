@@ -11,35 +11,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetspark.llm import minhash, packing, quality, repeats, secrets
-from assetspark.llm.common import saved, table
+from assetspark.llm.common import release, saved, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    """Documents that neither the base rules nor the learned list reject.
+
+    Null and empty texts fail the base rules; repeated rows all get one verdict.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
     judged = quality.judge(rows, quality.rules_for(spark, sf_dir))
     # a generator, as a filter would be pushed below the counts and make them twice
     return judged.select(F.inline(F.filter(F.array("_row"), lambda _: F.col("kept"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    gone = saved(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    """The document with the smallest id of each group of near copies.
+
+    Rows are judged by id and text: one row of equal ones stays, and a row whose
+    id another text has too stays if its own text is in no other group.  Rows
+    without words are near nothing and stay.
+    """
+    return minhash.deduplicate(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings that occur twice."""
+    """Documents without the bytes of strings that occur twice; none of them goes, null texts stay null."""
     return repeats.remove_repeats(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose secrets are masked."""
+    """Documents whose secrets are masked; none of them goes, null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens; a null text is an empty one."""
     import public_tokenizers
 
     return packing.digest(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -59,7 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        if before:
+            release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
