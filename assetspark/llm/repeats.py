@@ -9,8 +9,8 @@ belong to strings that chose it, its context, are bounded.
 2. Anchors whose hash occurs once are done.  Where all contexts of a hash are
    equal, all their strings repeat.
 3. Of different contexts under one hash, the parts where they share the bytes
-   that nearby strings have in common are sorted with ``suffix_array`` a few
-   hundred kilobytes at a time, one copy of each; neighbours that agree on
+   that nearby strings have in common are sorted with ``suffix_array`` some
+   fifty kilobytes at a time, which caches hold, one copy of each; neighbours that agree on
    ``length`` bytes repeat.  Contexts alone with those bytes are not sorted, and
    neither are parts that are all equal, as those repeat throughout.  Hashes with very many anchors are dealt again by
    the bytes that strings of nearby starts have in common; beyond ``HUGE``
@@ -39,7 +39,7 @@ from .suffixes import suffix_array
 
 LENGTH = 200
 #: Bytes of an anchor's gram, of a suffix array's text at most (beyond one group), and starts dealt together in large groups.
-GRAM, TEXT, BAND = 64, 300_000, 16
+GRAM, TEXT, BAND = 64, 50_000, 16
 #: Anchors of one hash from which a group is dealt again by its strings' common bytes, and from which each of its strings is counted alone.
 LARGE, HUGE = 2_000, 200_000
 #: Starts looked at together before sorting.
