@@ -38,7 +38,7 @@ SHINGLE, LINK_NUM, LINK_DEN = 5, 85, 100
 BANDS, ROWS = 30, 6
 #: Signature values compared at a time, and the posterior probability at which a pair is dropped.
 BATCH, MISS = 36, 1e-7
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 #: Classes compared at a time: by signature in a bucket, by their full sets in a cluster.
 BLOCK, SET_BLOCK = 1024, 256
 
@@ -142,8 +142,8 @@ def _fingerprint(hashes: np.ndarray) -> bytes:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, text) to (doc_id, text_hash, n_shingles, fp, sig, bands)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             rows: list[tuple] = []
             for text in part.column(2).to_pylist():
                 s = shingles(text)
@@ -173,8 +173,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, text) to (fp, set) where the text has that fingerprint."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             found = [shingles(x) for x in part.column(1).to_pylist()]
             keep = [_fingerprint(s) == fp for fp, s in zip(part.column(0).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays(

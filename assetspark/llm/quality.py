@@ -32,8 +32,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the five counts of ``COUNTS``, over whole texts.
 
     A null text has no words and counts zero throughout.  Columns of these names
-    in ``docs`` are replaced.  The steps are separate projections, so that no
-    array is made twice.
+    in ``docs`` are replaced.  Windows of three words are compared by 64-bit
+    hashes, which take a fraction of their strings' memory.  The steps are
+    separate projections, so that no array is made twice.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, BLANK + "+"), "")
@@ -42,16 +43,16 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("_w") >= 3,
         F.transform(
             F.sequence(F.lit(0), F.size("_w") - 3),
-            lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
+            lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
         ),
-    ).otherwise(F.array().cast("array<string>"))
+    ).otherwise(F.array().cast("array<bigint>"))
     at = F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))
     twice = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.size("_s") - 1),
             lambda j: F.when(
-                (F.get("_s", j)["g"] == F.coalesce(F.get("_s", j - 1)["g"], F.lit("")))
-                | (F.get("_s", j)["g"] == F.coalesce(F.get("_s", j + 1)["g"], F.lit(""))),
+                F.coalesce(F.get("_s", j)["g"] == F.get("_s", j - 1)["g"], F.lit(False))
+                | F.coalesce(F.get("_s", j)["g"] == F.get("_s", j + 1)["g"], F.lit(False)),
                 F.get("_s", j)["i"],
             ),
         ),

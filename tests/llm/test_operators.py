@@ -259,3 +259,20 @@ def test_passages_find_shared_and_fuzzy_ones(spark):
     assert passages.passages(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
     digest = hashlib.sha256(repr(sorted(got)).encode()).hexdigest()
     assert digest == hashlib.sha256(repr(sorted(passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())).encode()).hexdigest()
+
+
+def test_quality_counts_of_symbols_and_long_texts(spark, docs, texts):
+    rng = random.Random(8)
+    long_ = " ".join(rng.choice("ab") + rng.choice("cd#$") for _ in range(3000)) + "\n\nx y\nx y\n x y"
+    more = [*texts, long_, "# * $ % & | < > #a", "a b c a b c", None]
+    made = spark.createDataFrame([(k, t) for k, t in enumerate(more)], "doc_id long, text string")
+    got = by_id(quality.judge(made, []))
+    for k, t in enumerate(more):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = Counter(grams)
+        again = {i + d for i, g in enumerate(grams) if seen[g] > 1 for d in range(3)}
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        r = got[k]
+        assert (r.n_symbols, r.n_repeat_words, r.base_failed, r.kept) == (len(re.findall(r"[#*$%&|<>]", t)), len(again), failed, not failed)
