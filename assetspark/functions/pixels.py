@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+#: Colour types of a PNG by channels.
+COLOR_TYPES = {1: 0, 2: 4, 3: 2, 4: 6}
 #: Bytes of a pixel by encoding.
 PIXEL_BYTES = {"ARGB": 4, "GRAY": 1, "GA8 ": 2, "RGBW": 8, "GA16": 4, "RGB5": 2}
 
@@ -108,9 +110,9 @@ def zigzag(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def png(image: np.ndarray) -> bytes:
-    """A PNG file of an RGBA image of 8 or 16 bits."""
-    rows, columns, _ = image.shape
+    """A PNG file of an image of 8 or 16 bits: grey, grey and alpha, RGB or RGBA."""
+    rows, columns, channels = image.shape
     deep = image.dtype.itemsize * 8
     body = b"".join(b"\0" + r.astype(f">u{image.dtype.itemsize}").tobytes() for r in image)
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", columns, rows, deep, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(body)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", columns, rows, deep, COLOR_TYPES[channels], 0, 0, 0)) + part(b"IDAT", zlib.compress(body)) + part(b"IEND", b"")

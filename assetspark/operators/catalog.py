@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,8 +115,26 @@ def with_key(catalog: Catalog, key: list[int]) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def search(listed: DataFrame, query: str) -> DataFrame:
-    """Rows whose id, facet, name or encoding holds the query, whatever the case; all for a blank one."""
-    hay = F.lower(F.concat_ws("\n", F.concat(F.lit("entry-"), "asset_id"), "facet_name", "rendition_name", "encoding"))
+def variant_attributes(listed: DataFrame) -> DataFrame:
+    """``listed`` with ``all`` attributes and the ``unknown`` ones, whose tags have no name."""
+    return listed.withColumn("all", F.col("attrs")).withColumn("unknown", F.filter("attrs", lambda a: ~a["tag"].between(0, 27)))
+
+
+def search(listed: DataFrame, query: str, encoding: str = "resolved_encoding") -> DataFrame:
+    """Listed rows whose id, facet, name or encoding holds the query, whatever the case; all for a blank one."""
+    hay = F.lower(F.concat_ws("\n", "id", "facet_name", "rendition_name", encoding))
     needle = query.strip().lower()
     return listed.where(hay.contains(needle)) if needle else listed
+
+
+def highlighted(text: Column, query: str, before: str = "[", after: str = "]") -> Column:
+    """``text`` with each place of the query marked, whatever the case; the query is taken literally."""
+    needle = query.strip()
+    if not needle:
+        return text
+    return F.regexp_replace(text, F.lit("(?iu)" + re.escape(needle)), F.lit(re.sub(r"([\\$])", r"\\\1", before) + "$0" + re.sub(r"([\\$])", r"\\\1", after)))
+
+
+def window(listed: DataFrame, start: int, end: int, overscan: int = 3, order: str = "entry_index") -> DataFrame:
+    """Rows ``start`` to ``end`` of each archive's list, and ``overscan`` more on both sides."""
+    return listed.where((F.col(order) >= max(0, start - overscan)) & (F.col(order) < end + overscan))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.reader import Catalog
@@ -14,7 +14,7 @@ def resolve(catalog: Catalog) -> DataFrame:
     """(archive_id, rend_ord, source_ord, crops, effective_layout, hops, error) of each reference.
 
     The source is the first rendition on the way that is no reference.  Errors:
-    UnknownAttribute, InvalidKeyLength, MissingReferenceTlv, TargetNotFound,
+    UnknownAttribute, MalformedKey, MissingReferenceTlv, TargetNotFound,
     Cycle, DepthLimit.  Crops come innermost first; the layout is that of the
     outermost reference.
     """
@@ -54,12 +54,12 @@ def resolve(catalog: Catalog) -> DataFrame:
             (F.col("ends") | F.col("ends2")).alias("ends"),
         )
     # a state ends when the rendition it stands at is plain or failing; one more look tells
-    last = catalog.renditions.select("archive_id", F.col("rend_ord").alias("at"), (F.col("layout") == 1003).alias("still"))
+    last = catalog.renditions.select("archive_id", F.col("rend_ord").alias("at"), (F.col("layout") == 1003).alias("still"), F.col("reference").isNull().alias("bare"))
     looped = F.size(F.array_distinct("path")) < F.size("path")
     return (
         state.where("is_ref")
         .join(last, ["archive_id", "at"])
-        .withColumn("error", F.coalesce(F.when(F.col("still") & looped, "Cycle"), "error", F.when(F.col("still"), "DepthLimit")))
+        .withColumn("error", F.coalesce(F.when(F.col("still") & looped, "Cycle"), "error", F.when(F.col("still"), F.when(F.col("bare"), "MissingReferenceTlv").otherwise("DepthLimit"))))
         .select(
             "archive_id", F.col("start").alias("rend_ord"),
             F.when(F.col("error").isNull(), F.col("at")).alias("source_ord"),

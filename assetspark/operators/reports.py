@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import terms
+from ..functions.names import css_color, extension
 from ..sources.reader import Catalog
 from .catalog import RASTER, entries
+from .export import suggested_name, with_identity
 from .references import resolve
 
 #: Compressions that can be decoded, TLV tags that are known.
@@ -64,9 +67,10 @@ def diagnostics_totals(catalog: Catalog) -> DataFrame:
 
 
 def first_issues(catalog: Catalog, limit: int = 50) -> DataFrame:
-    """The first issues of all archives in entry order."""
-    each = diagnostics(catalog).select("archive_id", "asset_id", F.posexplode("issues").alias("pos", "issue"))
-    return each.orderBy("archive_id", "asset_id", "pos").limit(limit)
+    """The first issues of each archive in entry order."""
+    each = diagnostics(catalog).select("archive_id", "asset_id", "facet_name", "rendition_name", F.posexplode("issues").alias("pos", "issue"))
+    order = Window.partitionBy("archive_id").orderBy("asset_id", "pos")
+    return each.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 
 def resolved(catalog: Catalog) -> DataFrame:
@@ -75,6 +79,7 @@ def resolved(catalog: Catalog) -> DataFrame:
     source = catalog.renditions.select(
         "archive_id", F.col("rend_ord").alias("source_ord"), F.col("rendition_kind").alias("source_kind"), F.col("encoding").alias("source_encoding"),
         F.col("compression").alias("source_compression"), F.col("color_space").alias("source_space"), F.col("components").alias("source_components"),
+        F.col("key_values").alias("source_key"), F.col("rendition_name").alias("source_name"),
     )
     own = entries(catalog).join(way, ["archive_id", "rend_ord"], "left")
     own = own.withColumn("source_ord", F.when(F.col("layout") == 1003, F.col("source_ord")).otherwise(F.col("rend_ord")))
@@ -88,18 +93,22 @@ def classified(catalog: Catalog) -> DataFrame:
     ids are dealt.
     """
     kind, enc = F.col("source_kind"), F.col("source_encoding")
-    way = lambda *v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("entry_kind", "preview_strategy", "download_strategy", "mime_type"), strict=True)])
+    names_ = ("entry_kind", "preview_strategy", "download_strategy", "mime_type", "suggested_extension", "selection_reason")
+    way = lambda *v: F.struct(*[(F.lit(x) if isinstance(x, str) else x).alias(n) for x, n in zip(v, names_, strict=True)])
+    own = F.lower(extension(F.element_at(F.split("rendition_name", "/"), -1)))
+    data_type = F.when(own == "json", "application/json").when(own == "lottie", "application/zip").otherwise("application/octet-stream")
+    shown, kept = "original-browser-binary", "download-only-original"
     table = (
-        F.when(kind == "Color", way("color", "color-swatch", "none", ""))
+        F.when(kind == "Color", way("color", "color-swatch", "none", "", "", "metadata-color"))
         .when(kind.isin("MultisizeImageSet", "None", "Unknown"), None)
-        .when(F.col("source_compression") == HEVC, way("image", "download-only", "original", "image/heic"))
-        .when(enc == "JPEG", way("image", "img-binary", "original", "image/jpeg"))
-        .when(enc == "WEBP", way("image", "img-binary", "original", "image/webp"))
-        .when(enc == "SVG ", way("image", "img-binary", "original", "image/svg+xml"))
-        .when(enc == "PDF ", way("document", "download-only", "original", "application/pdf"))
-        .when(enc == "HEIF", way("image", "download-only", "original", "image/heic"))
-        .when(enc.isin(*RASTER), way("image", "canvas-rgba", "png", "image/png"))
-        .when(enc == "DATA", way("raw-data", "download-only", "original", "application/octet-stream"))
+        .when(F.col("source_compression") == HEVC, way("image", "download-only", "original", "image/heic", "heic", kept))
+        .when(enc == "JPEG", way("image", "img-binary", "original", "image/jpeg", "jpg", shown))
+        .when(enc == "WEBP", way("image", "img-binary", "original", "image/webp", "webp", shown))
+        .when(enc == "SVG ", way("image", "img-binary", "original", "image/svg+xml", "svg", shown))
+        .when(enc == "PDF ", way("document", "download-only", "original", "application/pdf", "pdf", kept))
+        .when(enc == "HEIF", way("image", "download-only", "original", "image/heic", "heic", kept))
+        .when(enc.isin(*RASTER), way("image", "canvas-rgba", "png", "image/png", "png", "decoded-raster"))
+        .when(enc == "DATA", way("raw-data", "download-only", "original", data_type, own, kept))
     )
     order = Window.partitionBy("archive_id").orderBy("asset_id")
     return (
@@ -119,3 +128,40 @@ def with_preview(listed: DataFrame) -> DataFrame:
     best = F.array_min(F.transform("_c", rank))["i"]
     own = F.col("preview_strategy") != "download-only"
     return listed.join(by_group, group, "left").withColumn("preview_index", F.when(own, F.col("entry_index")).otherwise(best)).drop("_c")
+
+
+def entry_list(catalog: Catalog) -> DataFrame:
+    """What a browser shows of each listed entry, 21 columns."""
+    listed = with_preview(classified(catalog))
+    rows = listed.withColumns({"p_rendition_kind": F.col("source_kind"), "p_encoding": F.col("source_encoding"), "p_rendition_name": F.col("source_name"), "p_key": F.col("source_key")})
+    rows = with_identity(catalog, rows)
+    downloadable = F.col("download_strategy") != "none"
+    ending = F.col("suggested_extension")
+    fallback = F.when(ending == "", "asset").otherwise(F.concat(F.lit("asset."), ending))
+    file = F.coalesce(suggested_name(F.col("identity_name"), F.col("p_kind"), F.col("scale"), ending), fallback)
+    is_color = F.col("source_kind") == "Color"
+    entry_id = lambda c: F.concat(F.lit("entry-"), F.col(c).cast("string"))
+    return rows.select(
+        "archive_id", "entry_index", entry_id("entry_index").alias("id"), entry_id("preview_index").alias("preview_source_id"), "facet_name", "rendition_name", "width", "height", "scale",
+        terms.layout_kebab(F.col("layout")).alias("logical_layout"), terms.encoding_lower(F.col("source_encoding")).alias("resolved_encoding"),
+        "entry_kind", "preview_strategy", "download_strategy", "suggested_extension", F.when(downloadable, file).otherwise("").alias("suggested_file_name"), "mime_type",
+        (F.col("download_strategy") != "png").alias("preserves_original_format"), "selection_reason", downloadable.alias("downloadable"),
+        F.when(is_color, terms.named(F.col("source_space"), terms.COLOR_SPACES, "unknown")).alias("color_space"),
+        F.when(is_color, F.col("source_components")).alias("color_components"),
+        F.when(is_color, css_color(F.col("source_space"), F.col("source_components"))).alias("css_color"),
+    )
+
+
+def summaries(listed: DataFrame, images_only: bool = False) -> DataFrame:
+    """The shorter rows of a list; with ``images_only`` without raw data and colours."""
+    rows = listed.where("entry_kind NOT IN ('raw-data', 'color')") if images_only else listed
+    return rows.select(
+        "archive_id", "id", "preview_source_id", "facet_name", "rendition_name", "width", "height", "scale", "resolved_encoding", "entry_kind", "preview_strategy", "downloadable", "css_color"
+    )
+
+
+def preview_badge(listed: DataFrame) -> DataFrame:
+    """``shown_id``, the entry whose picture stands for a row, and ``badge``: derived, preview, or the strategy's name."""
+    derived = F.col("preview_source_id").isNotNull() & (F.col("preview_source_id") != F.col("id"))
+    shown = F.col("preview_strategy") != "download-only"
+    return listed.withColumns({"shown_id": F.coalesce("preview_source_id", "id"), "badge": F.when(derived, "derived").when(shown, "preview").otherwise(F.col("preview_strategy"))})

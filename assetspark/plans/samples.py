@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 from ..sources import archive as A
 from ..sources.reader import Catalog
 
-ARCHIVES = 8
+#: Parts of an archive, so that more data make more archives of the same size.
+PARTS = 256
 TAGS = [17, 12, 15, 24]
 
 
@@ -20,71 +23,125 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     some = line.groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("ln")).agg(F.min("l_discount").alias("lo"), F.max("l_tax").alias("hi"))
-    return some.join(part.select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey").withColumn("archive", F.concat(F.lit("a"), F.col("p_partkey") % ARCHIVES))
+    number = F.floor(F.col("p_partkey") / PARTS).cast("long").cast("string")
+    return some.join(part.select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey").withColumn("archive", F.concat(F.lit("a"), number))
 
 
-def name_of(brand: str, ln: int, kind: int) -> str:
-    return f"{brand.lower()}_{ln % 3}" + {0: "", 1: ".png", 2: (".json", ".pdf", ".svg")[ln % 3], 3: ".png", 4: ""}[kind]
+def kind_of(p: int, ln: int) -> int:
+    """0 colour, 1 raster, 2 raw data, 3 reference, 4 sizes, 5 unknown payload, 6 no payload."""
+    kind = (p + ln) % 5
+    return {1: 5, 2: 6}.get(p % 7, 4) if kind == 4 else kind
+
+
+def name_of(p: int, brand: str, ln: int) -> str:
+    kind, stem = kind_of(p, ln), f"{brand.lower()}_{ln % 3}"
+    if p % 17 == 3 and kind == 1:
+        return "../" + stem + ".png"
+    if p % 17 == 4 and kind == 0:
+        return "nested/" + stem + ".v1"
+    if kind == 2:
+        return stem + ((".json", ".lottie", ".JSON", ".bin")[p % 4], ".pdf", ".svg")[ln % 3]
+    return stem + (".png" if kind in (1, 3) else "")
+
+
+def facet_of(p: int, name: str) -> str:
+    return f"../{name}#{p}" if p % 19 == 5 else f"{name}#{p}"
+
+
+def fault_of(p: int, ln: int) -> int:
+    """What is wrong with a reference: 1 it has none, 2 an unknown attribute, 3 a key cut off."""
+    if ln == 6:
+        return int(p % PARTS < 5)
+    return p % 13 if 1 <= p % 13 <= 3 else 0
 
 
 def rendition(p: int, ln: int, brand: str, size: int, lo: float, hi: float) -> tuple[list[int], bytes]:
-    kind = (p + ln) % 5
-    tlvs = A.encode_tlv(1007, (4 * size).to_bytes(4, "little")) + A.encode_tlv(1006, ln.to_bytes(4, "little"))
+    kind, q = kind_of(p, ln), p % PARTS
+    tlvs = A.encode_tlv(1007, struct.pack("<I", 4 * size)) + A.encode_tlv(1006, struct.pack("<I", ln))
     if p % 10 == 0:
         tlvs += A.encode_tlv(4242, b"x")
+    if p % 6 == 0:
+        tlvs += A.encode_tlv(1006, struct.pack("<I", ln + 1))
+    elif p % 6 == 1:
+        tlvs += A.encode_tlv(1001, struct.pack("<5I", 1, 0, 0, ln, size)) + A.encode_tlv(1001, struct.pack("<5I", 1, ln, 0, 1, 2))
+    elif p % 6 == 2:
+        tlvs += A.encode_tlv(1005, struct.pack("<2I", 11, 0) + b"public.png\0")
+    elif p % 6 == 3:
+        tlvs += A.encode_tlv(1003, struct.pack("<7I", 3, 1, 2, 3, 4, size, ln))
     data = f"{p}:{ln}".encode()
     layout, encoding, body = 12, "ARGB", b""
     if kind == 0:
-        layout, encoding, body = 1009, "None", A.encode_color(1, [lo, hi, 0.5, 1.0])
+        layout, encoding, body = 1009, "None", A.encode_color((1, 2, 3, 6)[p % 4], [lo, hi, 0.5, 1.0])
     elif kind == 1:
         compression = (0, 2, 1, 8)[ln % 4]
-        body = A.encode_raster(compression, zlib.compress(data) if compression == 2 else data)
+        if compression == 0 and p % 3 == 0:
+            body = A.encode_parts(0, [(1, data[:2]), (1, data[2:])])
+        else:
+            body = A.encode_raster(compression, zlib.compress(data) if compression == 2 else data)
     elif kind == 2:
         layout, encoding, body = 1000, ("DATA", "PDF ", "SVG ")[ln % 3], A.encode_raw(data)
     elif kind == 3:
-        to = p // (2 * ARCHIVES) * ARCHIVES + p % ARCHIVES  # in the same archive; the first one refers to itself
         layout = 1003
-        tlvs += A.encode_reference((ln, 0, size, size), 12, [(17, to), (12, 1 + ln % 3), (15, ln % 7), (24, to % 2)])
-    else:
+        to = (q - 5 if q >= 5 else 300) if ln == 6 else q // 2  # in the same archive; the first one refers to itself
+        key, fault = [(17, to), (12, 1 + ln % 3), (15, ln % 7), (24, to % 2)], fault_of(p, ln)
+        if fault != 1:
+            tlvs += A.encode_reference((ln, 0, size, size), 12, [(99, 1)] if fault == 2 else key, b"\1\1\1" if fault == 3 else b"")
+    elif kind == 4:
         layout, encoding, body = 1010, "None", A.encode_sizes([(size, 2 * size, 0, ln % 7)])
-    return [p, 1 + ln % 3, ln % 7, p % 2], A.encode_rendition(size, 2 * size, 100 * (1 + ln % 3), encoding, layout, name_of(brand, ln, kind), tlvs, body)
+    else:
+        encoding, body = "None", A.encode_unknown(b"QQQQ", data) if kind == 5 else b""
+    return [q, 1 + ln % 3, ln % 7, p % 2], A.encode_rendition(size, 2 * size, 100 * (1 + ln % 3), encoding, layout, name_of(p, brand, ln), tlvs, body)
 
 
 def _encode(rows_: pd.DataFrame) -> pd.DataFrame:
     rows_ = rows_.sort_values(["p_partkey", "ln"])
     parts = rows_.drop_duplicates("p_partkey")
-    facets = [(f"{r.p_name}#{r.p_partkey}", [(1, 85), (17, int(r.p_partkey))]) for r in parts.itertuples()]
+    facets = [(facet_of(int(r.p_partkey), r.p_name), [(1, 85), (17, int(r.p_partkey) % PARTS)]) for r in parts.itertuples()]
     renditions = [rendition(int(r.p_partkey), int(r.ln), r.p_brand, int(r.p_size), float(r.lo), float(r.hi)) for r in rows_.itertuples()]
     return pd.DataFrame({"archive_id": [rows_["archive"].iloc[0]], "content": [A.encode(TAGS, facets, renditions)]})
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The sample archives, encoded by Spark and opened."""
+@lru_cache(maxsize=4)
+def _opened(spark: SparkSession, session: str, sf_dir: str) -> Catalog:
     made = rows(spark, sf_dir).groupBy("archive").applyInPandas(_encode, "archive_id string, content binary")
     return Catalog(made)
 
 
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The sample archives, encoded by Spark and opened once a session."""
+    return _opened(spark, spark.sparkContext.applicationId, sf_dir)
+
+
 #: The same renditions in SQL.
 SQL = """WITH RECURSIVE base AS (
-  SELECT 'a' || (p_partkey % 8) AS archive_id, p_partkey AS p, l_linenumber AS ln, p_size AS size, p_name || '#' || p_partkey AS facet_name,
-         min(l_discount) AS lo, max(l_tax) AS hi, (p_partkey + l_linenumber) % 5 AS kind, lower(p_brand) AS brand
+  SELECT 'a' || (p_partkey // 256) AS archive_id, p_partkey AS p, p_partkey % 256 AS q, l_linenumber AS ln, p_size AS size,
+         CASE WHEN p_partkey % 19 = 5 THEN '../' ELSE '' END || p_name || '#' || p_partkey AS facet_name,
+         min(l_discount) AS lo, max(l_tax) AS hi, lower(p_brand) || '_' || (l_linenumber % 3) AS stem,
+         CASE WHEN (p_partkey + l_linenumber) % 5 <> 4 THEN (p_partkey + l_linenumber) % 5 WHEN p_partkey % 7 = 1 THEN 5 WHEN p_partkey % 7 = 2 THEN 6 ELSE 4 END AS kind
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY p, ln) - 1 AS rend_ord,
     row_number() OVER (PARTITION BY archive_id ORDER BY facet_name, p, ln) - 1 AS asset_id,
-    brand || '_' || (ln % 3) || CASE kind WHEN 1 THEN '.png' WHEN 3 THEN '.png' WHEN 2 THEN CASE ln % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.pdf' ELSE '.svg' END ELSE '' END AS rendition_name,
+    CASE WHEN p % 17 = 3 AND kind = 1 THEN '../' || stem || '.png' WHEN p % 17 = 4 AND kind = 0 THEN 'nested/' || stem || '.v1'
+      WHEN kind = 2 THEN stem || CASE ln % 3 WHEN 0 THEN ['.json', '.lottie', '.JSON', '.bin'][p % 4 + 1] WHEN 1 THEN '.pdf' ELSE '.svg' END
+      WHEN kind IN (1, 3) THEN stem || '.png' ELSE stem END AS rendition_name,
     1 + ln % 3 AS scale, ln % 7 AS idiom, p % 2 AS gamut,
-    CASE kind WHEN 0 THEN 1009 WHEN 1 THEN 12 WHEN 2 THEN 1000 WHEN 3 THEN 1003 ELSE 1010 END AS layout,
-    CASE kind WHEN 0 THEN 'None' WHEN 4 THEN 'None' WHEN 2 THEN CASE ln % 3 WHEN 0 THEN 'DATA' WHEN 1 THEN 'PDF ' ELSE 'SVG ' END ELSE 'ARGB' END AS encoding,
-    CASE kind WHEN 0 THEN 'Color' WHEN 1 THEN 'ThemeCBCK' WHEN 2 THEN 'RawData' WHEN 3 THEN 'None' ELSE 'MultisizeImageSet' END AS rendition_kind,
-    CASE WHEN kind = 1 THEN CASE ln % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 8 END END AS compression
+    CASE kind WHEN 0 THEN 1009 WHEN 2 THEN 1000 WHEN 3 THEN 1003 WHEN 4 THEN 1010 ELSE 12 END AS layout,
+    CASE WHEN kind IN (1, 3) THEN 'ARGB' WHEN kind = 2 THEN CASE ln % 3 WHEN 0 THEN 'DATA' WHEN 1 THEN 'PDF ' ELSE 'SVG ' END ELSE 'None' END AS encoding,
+    CASE kind WHEN 0 THEN 'Color' WHEN 1 THEN 'ThemeCBCK' WHEN 2 THEN 'RawData' WHEN 4 THEN 'MultisizeImageSet' WHEN 5 THEN 'Unknown' ELSE 'None' END AS rendition_kind,
+    CASE WHEN kind = 1 THEN CASE ln % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 8 END END AS compression,
+    CASE WHEN kind <> 3 THEN NULL WHEN ln = 6 THEN CASE WHEN q < 5 THEN 'MissingReferenceTlv' END
+      ELSE CASE p % 13 WHEN 1 THEN 'MissingReferenceTlv' WHEN 2 THEN 'UnknownAttribute' WHEN 3 THEN 'MalformedKey' END END AS fault,
+    CASE WHEN ln = 6 THEN CASE WHEN q >= 5 THEN q - 5 ELSE 300 END ELSE q // 2 END AS to_q
   FROM base),
-hops AS MATERIALIZED (SELECT a.archive_id, a.rend_ord, a.kind, b.rend_ord AS target FROM r a LEFT JOIN r b ON a.kind = 3 AND a.archive_id = b.archive_id AND b.p = a.p // 16 * 8 + a.p % 8 AND b.ln = a.ln),
+hops AS MATERIALIZED (SELECT a.archive_id, a.rend_ord, a.kind, a.fault, b.rend_ord AS target
+  FROM r a LEFT JOIN r b ON a.kind = 3 AND a.fault IS NULL AND a.archive_id = b.archive_id AND b.q = a.to_q AND b.ln = a.ln),
 walk AS (SELECT archive_id, rend_ord, target AS stop_ord, 1 AS n, [target] AS path FROM hops WHERE kind = 3 AND target IS NOT NULL
   UNION ALL SELECT w.archive_id, w.rend_ord, h.target, n + 1, list_append(path, h.target) FROM walk w JOIN hops h ON w.archive_id = h.archive_id AND w.stop_ord = h.rend_ord
   WHERE h.kind = 3 AND h.target IS NOT NULL AND n < 16),
 ends AS (SELECT archive_id, rend_ord, max_by(stop_ord, n) AS stop_ord, max(n) AS n, max_by(path, n) AS path FROM walk GROUP BY ALL),
 way AS MATERIALIZED (SELECT s.archive_id, s.rend_ord, coalesce(e.n, 0) AS hops,
-    CASE WHEN e.stop_ord IS NULL THEN 'TargetNotFound' WHEN f.kind <> 3 THEN NULL WHEN len(list_distinct(e.path)) < len(e.path) THEN 'Cycle' WHEN f.target IS NULL THEN 'TargetNotFound' ELSE 'DepthLimit' END AS error, e.stop_ord
+    CASE WHEN e.stop_ord IS NULL THEN coalesce(s.fault, 'TargetNotFound') WHEN f.kind <> 3 THEN NULL WHEN len(list_distinct(e.path)) < len(e.path) THEN 'Cycle'
+      WHEN e.n = 16 AND coalesce(f.fault, '') <> 'MissingReferenceTlv' THEN 'DepthLimit' ELSE coalesce(f.fault, 'TargetNotFound') END AS error, e.stop_ord
   FROM hops s LEFT JOIN ends e USING (archive_id, rend_ord) LEFT JOIN hops f ON f.archive_id = e.archive_id AND f.rend_ord = e.stop_ord WHERE s.kind = 3)
 """

@@ -50,7 +50,7 @@ class Store:
                 return self.block(index)
         raise StoreError(f"no block named {name}")
 
-    def leaves(self, name: str) -> Iterator[tuple[bytes, bytes]]:
+    def leaves(self, name: str) -> Iterator[tuple[memoryview, memoryview]]:
         """(key, value) of a tree's leaves in order; an inner node without children ends it."""
         head = self.named(name)
         if bytes(head[:4]) != b"tree":
@@ -67,7 +67,7 @@ class Store:
         while True:
             for k in range(count):
                 value, key = struct.unpack_from(">2I", node, 12 + 8 * k)
-                yield bytes(self.block(key)), bytes(self.block(value))
+                yield self.block(key), self.block(value)
             if not forward:
                 return
             node = self.block(forward)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .archive import parse
+from .bom import StoreError
 
 _ATTRS = "array<struct<tag:int,val:int>>"
 DOCUMENT = (
@@ -26,23 +30,34 @@ RENDITION = (
 )
 
 
+PARTS = {
+    "document": f"struct<{DOCUMENT}>", "key_format": "array<int>", "appearance": "struct<name string, value binary>",
+    "facet": f"struct<{FACET}>", "rendition": f"struct<{RENDITION}>",
+}
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(archive_id, content) of the files under ``path``, by Spark's own reader."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive_id"), "content")
 
 
-def _table(archives: DataFrame, part: str, fields: str) -> DataFrame:
-    """One of the archive's tables; each archive is parsed where it lies, one at a time."""
-    out = archives.sparkSession.createDataFrame([], f"archive_id string, {fields}").schema
-    from pyspark.sql.pandas.types import to_arrow_schema
+def records(archives: DataFrame, parts: tuple[str, ...] = tuple(PARTS), payloads: bool = False) -> DataFrame:
+    """(archive_id, error, and a column for each of ``parts``): one row for each record, with its part's column set.
 
+    Each archive is parsed once, where it lies.  Payload bytes stay out unless
+    asked for.  An archive that cannot be read gives one row with its error.
+    """
+    out = archives.sparkSession.createDataFrame([], f"archive_id string, error string, {', '.join(f'{p} {PARTS[p]}' for p in parts)}").schema
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = parse(content.as_py())[part]
-                rows = [r | {"archive_id": name.as_py()} for r in (found if isinstance(found, list) else [found])]
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    found = parse(content.as_buffer(), parts, payloads)
+                    rows = [{"archive_id": name, part: r} for part in parts for r in found[part]]
+                except (StoreError, struct.error) as e:
+                    rows = [{"archive_id": name, "error": f"{getattr(e, 'code', 'Truncated')}: {e}"}]
                 for at in range(0, len(rows), 4096):
                     yield pa.RecordBatch.from_pylist(rows[at : at + 4096], schema=schema)
 
@@ -51,7 +66,11 @@ def _table(archives: DataFrame, part: str, fields: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Catalog:
-    """The tables of a set of archives (``archive_id``, ``content``)."""
+    """The tables of a set of archives (``archive_id``, ``content``).
+
+    The archives are parsed once; what is found, but for the payloads' bytes, is
+    kept by Spark in memory and on disk until ``close``.
+    """
 
     archives: DataFrame
 
@@ -59,30 +78,46 @@ class Catalog:
     def open(cls, spark: SparkSession, path: str) -> Catalog:
         return cls(read_archives(spark, path))
 
+    @cached_property
+    def records(self) -> DataFrame:
+        return records(self.archives).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        """Drops what was kept."""
+        if "records" in self.__dict__:
+            self.records.unpersist()
+
+    def _part(self, part: str) -> DataFrame:
+        return self.records.where(F.col(part).isNotNull()).select("archive_id", f"{part}.*")
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """(archive_id, error) of the archives that cannot be read."""
+        return self.records.where("error IS NOT NULL").select("archive_id", "error")
+
     @cached_property
     def document(self) -> DataFrame:
-        return _table(self.archives, "document", DOCUMENT)
+        return self._part("document")
 
     @cached_property
     def key_format(self) -> DataFrame:
         """(archive_id, pos, attr_tag)."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    tags = parse(content.as_py())["key_format"]
-                    yield pa.RecordBatch.from_pydict({"archive_id": [name] * len(tags), "pos": pa.array(range(len(tags)), pa.int32()), "attr_tag": pa.array(tags, pa.int32())})
-
-        return self.archives.select("archive_id", "content").mapInArrow(run, "archive_id string, pos int, attr_tag int")
+        return self.records.where("key_format IS NOT NULL").select("archive_id", F.posexplode("key_format").alias("pos", "attr_tag"))
 
     @cached_property
     def appearances(self) -> DataFrame:
-        return _table(self.archives, "appearances", "name string, value binary")
+        return self._part("appearance")
 
     @cached_property
     def facets(self) -> DataFrame:
-        return _table(self.archives, "facets", FACET)
+        return self._part("facet")
 
     @cached_property
     def renditions(self) -> DataFrame:
-        return _table(self.archives, "renditions", RENDITION)
+        """Renditions without their payloads' bytes, which are null."""
+        return self._part("rendition")
+
+    @cached_property
+    def payloads(self) -> DataFrame:
+        """Renditions with their payloads' bytes, read from the archives anew and not kept."""
+        return records(self.archives, ("rendition",), True).where("rendition IS NOT NULL").select("archive_id", "rendition.*")
