@@ -41,6 +41,8 @@ BATCH, MISS = 36, 1e-7
 WORD_CACHE = 200_000
 #: Classes compared at a time: by signature in a bucket, by their full sets in a cluster.
 BLOCK, SET_BLOCK = 1024, 256
+#: Rows turned to Python objects at a time.
+PIECE = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,8 +144,8 @@ def _fingerprint(hashes: np.ndarray) -> bytes:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, text) to (doc_id, text_hash, n_shingles, fp, sig, bands)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, PIECE):
+            part = batch.slice(at, PIECE)
             rows: list[tuple] = []
             for text in part.column(2).to_pylist():
                 s = shingles(text)
@@ -173,8 +175,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, text) to (fp, set) where the text has that fingerprint."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, PIECE):
+            part = batch.slice(at, PIECE)
             found = [shingles(x) for x in part.column(1).to_pylist()]
             keep = [_fingerprint(s) == fp for fp, s in zip(part.column(0).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +227,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
-    for batch in batches:
+    for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
         found: list[tuple[bytes, bytes]] = []
         for key, *row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
             if key != last and waiting:

@@ -46,8 +46,8 @@ LARGE, HUGE = 2_000, 200_000
 FINE = 4
 #: Spans held before they leave a task.
 KNOWN = 50_000
-#: Bytes hashed at a time; only bounds memory.
-SEGMENT = 1 << 22
+#: Bytes hashed and rows changed at a time; only bound memory.
+SEGMENT, AT_ONCE = 1 << 20, 128
 
 _rng = np.random.default_rng(23)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,8 +188,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
                 out: list[list] = [[], [], [], [], [], [], []]
                 for k, t, text in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                     data = text.encode()
@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 def _without(batches: Iterator[pa.RecordBatch], then: Callable[[bytes], object]) -> Iterator[pa.RecordBatch]:
     """(row, text, spans) to (row, text, n_removed, n_spans): ``then`` of the bytes that stay, for the rows with spans."""
-    for batch in batches:
+    for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
         some = batch.column(2).is_valid()
         part = batch.filter(some)
         cols: list[list] = [[], [], []]
