@@ -180,7 +180,7 @@ def image(r: Mapping[str, Any], limit: int | None = None, exif: bool = False) ->
         five = np.stack([v >> 10 & 31, v >> 5 & 31, v & 31], axis=-1)
         out = (five << 3 | five >> 2).astype(np.uint8)
     elif enc in ("JPEG", "WEBP"):
-        raise ImageError("NativeFallbackUnavailable", f"no decoder for {enc}")
+        raise ImageError("UnsupportedEncoding", f"no decoder for {enc}")
     else:
         raise ImageError("UnsupportedEncoding", f"encoding {enc}")
     within(out.nbytes, limit, "ImageConversion")

@@ -61,6 +61,10 @@ def items(catalog: Catalog) -> DataFrame:
 
 def entries(catalog: Catalog) -> DataFrame:
     """``items`` with the dense ordinal ``asset_id``, its siblings' count and kinds."""
+    return catalog.derived("entries", lambda: _entries(catalog))
+
+
+def _entries(catalog: Catalog) -> DataFrame:
     order = Window.partitionBy("archive_id").orderBy("facet_name", "rend_ord")
     siblings = Window.partitionBy("archive_id", "facet_name")
     return items(catalog).select(

@@ -63,6 +63,11 @@ def suggested_name(name: Column, kind: Column, scale: Column, ending: Column) ->
 
 
 def planned(catalog: Catalog) -> DataFrame:
+    """What ``_planned`` gives, made once for a catalog."""
+    return catalog.derived("plan", lambda: _planned(catalog))
+
+
+def _planned(catalog: Catalog) -> DataFrame:
     """``entries`` with identity, payload, crops, ``format``, ``outcome`` and ``path``.
 
     An item that has an output is its own payload, also if it is a reference.
@@ -97,11 +102,12 @@ def planned(catalog: Catalog) -> DataFrame:
     name = F.when(json, F.concat(safe, F.when(safe.endswith(mark), "").otherwise(mark), F.lit(".json"))).otherwise(with_extension(safe, mark, ending))
     folder = relative_path(F.col("identity_facet"))
     rows = rows.withColumn("base_path", F.when(folder.isNotNull() & name.isNotNull(), F.concat_ws("/", folder, name)))
-    rows = rows.withColumn("format", F.when(json, "json").when((F.col("p_rendition_kind") == "RawData") | saved_raw("p_"), "raw").otherwise("image"))
+    rows_ = rows.withColumn("format", F.when(json, "json").when((F.col("p_rendition_kind") == "RawData") | saved_raw("p_"), "raw").otherwise("image"))
     outcome = (
         F.when(F.col("p_kind").isNull(), "UnsupportedPayload").when(F.col("_nth") > 1, "Coalesced").when(F.col("base_path").isNull(), "UnsafeFileName").otherwise("Planned")
     )
-    return unique_paths(rows.withColumn("outcome", outcome).drop("_nth"), F.col("outcome") == "Planned")
+    rows = catalog.derived("plan without paths", lambda: rows_.withColumn("outcome", outcome).drop("_nth"))
+    return unique_paths(rows, F.col("outcome") == "Planned")
 
 
 def _numbered(path: str, n: int) -> str:

@@ -167,7 +167,7 @@ def thumbnails(catalog: Catalog, most: int = 256, where: Column | None = None) -
             return {"mime": "image/png"} | _picture(images.rgba(images.cropped(images.image(r["source"]), r["crops"] or [])), "thumbnail", most)
         if r["preview_strategy"] == "img-binary":
             if r["source"]["encoding"] in ("JPEG", "WEBP") and max(r["width"], r["height"]) > most:
-                raise ImageError("NativeFallbackUnavailable", f"no decoder for {r['source']['encoding']}")
+                raise ImageError("UnsupportedEncoding", f"no decoder for {r['source']['encoding']}")
             return {"mime": r["mime_type"], "data": images.original(r["source"])}
         return {}
 

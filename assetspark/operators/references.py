@@ -11,6 +11,11 @@ HOPS = 16
 
 
 def resolve(catalog: Catalog) -> DataFrame:
+    """What ``_resolve`` gives, made once for a catalog."""
+    return catalog.derived("references", lambda: _resolve(catalog))
+
+
+def _resolve(catalog: Catalog) -> DataFrame:
     """(archive_id, rend_ord, source_ord, crops, effective_layout, hops, error) of each reference.
 
     The source is the first rendition on the way that is no reference.  Errors:
@@ -42,7 +47,9 @@ def resolve(catalog: Catalog) -> DataFrame:
         # no more hops from here: a plain rendition, or a reference that fails
         (~is_ref | error.isNotNull()).alias("ends"),
     )
-    for _ in range(HOPS.bit_length() - 1):
+    for step in range(HOPS.bit_length() - 1):
+        # each step uses the one before twice, so that plans would double too
+        state = catalog.derived(f"references after {2**step}", lambda made=state: made)
         ahead = state.select("archive_id", F.col("start").alias("at"), F.col("at").alias("at2"), F.col("path").alias("path2"), F.col("crops").alias("crops2"), F.col("error").alias("error2"), F.col("ends").alias("ends2"))
         go = ~F.col("ends")
         state = state.join(ahead, ["archive_id", "at"]).select(

@@ -87,6 +87,11 @@ def resolved(catalog: Catalog) -> DataFrame:
 
 
 def classified(catalog: Catalog) -> DataFrame:
+    """What ``_classified`` gives, made once for a catalog."""
+    return catalog.derived("classified", lambda: _classified(catalog))
+
+
+def _classified(catalog: Catalog) -> DataFrame:
     """The rows a browser can list, with how to show and to download them, and ``entry_id``.
 
     Unresolved references and payloads that cannot be shown are left out before
@@ -131,6 +136,11 @@ def with_preview(listed: DataFrame) -> DataFrame:
 
 
 def entry_list(catalog: Catalog) -> DataFrame:
+    """What ``_entry_list`` gives, made once for a catalog."""
+    return catalog.derived("entry list", lambda: _entry_list(catalog))
+
+
+def _entry_list(catalog: Catalog) -> DataFrame:
     """What a browser shows of each listed entry, 21 columns."""
     listed = with_preview(classified(catalog))
     rows = listed.withColumns({"p_rendition_kind": F.col("source_kind"), "p_encoding": F.col("source_encoding"), "p_rendition_name": F.col("source_name"), "p_key": F.col("source_key")})

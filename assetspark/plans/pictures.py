@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
     text = "hex(encode('picture ' || p))"
     return {
         "picture_rgba": SQL + f"SELECT archive_id, rendition_name, 2 AS width, {hexed} AS rgba FROM d WHERE way < 10 GROUP BY archive_id, rendition_name",
-        "picture_faults": SQL + "SELECT archive_id, rendition_name, CASE way WHEN 11 THEN 'UnsupportedEncoding' WHEN 12 THEN 'NativeFallbackUnavailable' ELSE 'UnsupportedCompression' END AS error_code FROM base WHERE way >= 10",
+        "picture_faults": SQL + "SELECT archive_id, rendition_name, CASE WHEN way IN (11, 12) THEN 'UnsupportedEncoding' ELSE 'UnsupportedCompression' END AS error_code FROM base WHERE way >= 10",
         "decode_budget": SQL + """SELECT archive_id, CASE WHEN way IN (10, 13) THEN 'UnsupportedCompression' WHEN way IN (1, 2) THEN 'fine' WHEN way = 12 AND length('picture ' || p) <= 8 THEN 'fine' ELSE 'DecodeBudgetExceeded' END AS outcome, count(*) AS n
           FROM base GROUP BY ALL""",
         "original_bytes": SQL + f"""SELECT archive_id, rendition_name, CASE way WHEN 10 THEN '0000001866747970787878780000000061626364' || '68656963' || {text} WHEN 11 THEN {text} WHEN 12 THEN {text} END AS data,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import pyarrow as pa
@@ -69,23 +70,33 @@ class Catalog:
     """The tables of a set of archives (``archive_id``, ``content``).
 
     The archives are parsed once; what is found, but for the payloads' bytes, is
-    kept by Spark in memory and on disk until ``close``.
+    kept by Spark in memory and on disk until ``close``.  So are a few tables that
+    many queries use several times each, which keeps their plans small.
     """
 
     archives: DataFrame
+    _kept: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Catalog:
         return cls(read_archives(spark, path))
 
-    @cached_property
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table of that name, made once and kept."""
+        if name not in self._kept:
+            self._kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept[name]
+
+    @property
     def records(self) -> DataFrame:
-        return records(self.archives).persist(StorageLevel.MEMORY_AND_DISK)
+        # Spark takes plans over the same folder for equal, whatever files it has by now
+        return self.derived("records", lambda: records(self.archives.where(F.lit(uuid.uuid4().hex) != "")))
 
     def close(self) -> None:
         """Drops what was kept."""
-        if "records" in self.__dict__:
-            self.records.unpersist()
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
 
     def _part(self, part: str) -> DataFrame:
         return self.records.where(F.col(part).isNotNull()).select("archive_id", f"{part}.*")

@@ -1 +1 @@
-
+"""Archives as they arrive."""
