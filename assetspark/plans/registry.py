@@ -163,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "variant_attributes": SQL + "SELECT archive_id, asset_id, scale, idiom, gamut AS display_gamut, CAST(NULL AS BIGINT) AS appearance FROM r",
         "raw_attribute": SQL + "SELECT archive_id, asset_id, idiom, gamut FROM r",
         "best_variant_default": _best_sql("CASE WHEN scale = 1 THEN 0 ELSE 1 END, scale"),
-        "best_variant_scale2": _best_sql("CASE WHEN scale = 2 THEN 0 ELSE 1 END, CASE WHEN scale = 2 THEN scale ELSE abs(scale - 2) END"),
+        "best_variant_scale2": _best_sql("0, scale", "scale = 2"),
         "best_variant_multi": _best_sql("0, scale", "scale = 3 AND idiom = 2 AND gamut = 1"),
         "best_variant_null": _best_sql("0, scale", "false"),
         "exact_key_lookup": SQL + "SELECT archive_id, min(rend_ord) AS rend_ord, arg_min(rendition_name, rend_ord) AS rendition_name FROM r WHERE q = 10 AND scale = 2 AND idiom = 1 AND gamut = 0 GROUP BY archive_id",
