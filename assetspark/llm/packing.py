@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 SEQUENCE = 2048
-#: Tokens packed at a time by one task; bounds its memory and nothing else.
+#: Tokens packed at a time by one task; bounds its memory, and decides which documents share sequences.
 BLOCK_TOKENS = 4_000_000
 #: Cost of a document of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
