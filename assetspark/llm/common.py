@@ -64,6 +64,7 @@ def release(*frames: DataFrame) -> None:
     for path in [f.saved_path for f in frames]:
         _remove(path)
     if spark := SparkSession.getActiveSession():
+        spark.range(1).collect()  # the last job's shuffles are held until another one has run
         _collect(spark)
 
 
