@@ -52,7 +52,17 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 
 _PLACE, _SCALE, _SHIFT = _odd(SHINGLE, 11), _odd(BANDS * ROWS, 12), _odd(BANDS * ROWS, 13)
-_words: dict[bytes, int] = {}
+
+
+class Words(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = xxhash.xxh3_64_intdigest(word)
+        return made
+
+
+_words = Words()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,8 +77,6 @@ def shingles(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_words) > WORD_CACHE:
         _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     if len(h) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], np.uint64)
