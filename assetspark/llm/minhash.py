@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, saved, scratched, table
+from .common import keeps, only, release, saved, scratched, table
 from .graph import components
 
 #: Words of a shingle; intersection / union that links, as a fraction of whole numbers.
@@ -63,6 +63,7 @@ class Words(dict):
 
 
 _words = Words()
+keeps("minhash", _words.clear)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -151,6 +152,7 @@ def _fingerprint(hashes: np.ndarray) -> bytes:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, text) to (doc_id, text_hash, n_shingles, fp, sig, bands)."""
+    only("minhash")
     for batch in batches:
         for at in range(0, batch.num_rows, PIECE):
             part = batch.slice(at, PIECE)
@@ -182,6 +184,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, text) to (fp, set) where the text has that fingerprint."""
+    only("minhash")
     for batch in batches:
         for at in range(0, batch.num_rows, PIECE):
             part = batch.slice(at, PIECE)
@@ -229,6 +232,7 @@ class _Forest:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, side, part, fp, sig[, words]), sorted by key, to the edges of each key's forest."""
+    only("minhash")
     waiting: list[tuple] = []
     last = None
 

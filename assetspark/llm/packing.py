@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keeps, only, table
 
 SEQUENCE = 2048
 #: Tokens packed at a time by one task; bounds its memory, and decides which documents share sequences.
@@ -89,6 +89,9 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+keeps("packing", tokenizer.cache_clear)
+
+
 def cost(tokens: int) -> float:
     return LINEAR * tokens + QUADRATIC * tokens * tokens
 
@@ -164,6 +167,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        only("packing")
         words = tokenizer(path)
         end = np.asarray([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 36

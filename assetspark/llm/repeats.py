@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import release, saved, scratched, table
+from .common import only, release, saved, scratched, table
 from .suffixes import suffix_array
 
 LENGTH = 200
@@ -187,6 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = docs.select(k.alias("k"), t.alias("t"), _text(text_col).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("repeats")
         for batch in batches:
             for start in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(start, AT_ONCE)
@@ -216,6 +217,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     held = rows.join(saved(asked), ["k", "t"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("repeats")
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
@@ -244,6 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield _batches(out, [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int32()], ["g", "h", "c", "off", "data", "mid"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("repeats")
         keys: list[tuple[int, int, int]] = []
         texts: list[bytes] = []
         done: list[tuple[int, int, int, int]] = []
@@ -281,6 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield flush()
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("repeats")
         for batch in batches:
             for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode()
