@@ -32,6 +32,8 @@ BLOCK_TOKENS = 4_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 #: Words kept by each Python worker: at so many, those not used since the last time go.
 WORD_CACHE = 300_000
+#: Texts are looked up together until so many words are unknown, or there are so many words.
+NEW_WORDS, HELD_WORDS = 4096, 500_000
 #: A mark between a letter and white space is split off by the pre-tokenizer in any case.
 MARK = re.compile(r"(?<=[a-z])[.,;:!?](?=\s|\Z)")
 
@@ -56,29 +58,61 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
 
-    def encode(self, text: str, end: bytes) -> np.ndarray:
-        """The ids of ``text`` as little-endian unsigned integers, with ``end`` after them."""
+    def _words(self, text: str) -> list[str] | None:
+        """The words to look up; None where the tokenizer must see the text whole."""
         if self.whole.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.frombuffer(np.asarray(ids, "<u4").tobytes() + end, "<u4")
+            return None
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        parts = MARK.sub(r" \g<0>", text.encode().lower().decode()).split()
-        if missing := set(parts).difference(self.words):
-            if len(self.words) + len(missing) > WORD_CACHE:
-                self.aged, self.words = self.words, {}
-                missing = set(parts)
-            known, aged, new = self.words, self.aged, []
-            for w in missing:
-                if (ids := aged.get(w)) is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[w] = array("I", e.ids).tobytes()
-        return np.frombuffer(b"".join(map(self.words.__getitem__, parts)) + end, "<u4")
+        return MARK.sub(r" \g<0>", text.encode().lower().decode()).split()
+
+    def _learn(self, missing: set[str]) -> None:
+        known, aged, new = self.words, self.aged, []
+        for w in missing:
+            if (ids := aged.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+
+    def encode_all(self, texts: list[str], end: bytes) -> Iterator[np.ndarray]:
+        """The ids of each text as little-endian unsigned integers, with ``end`` after them.
+
+        Texts are taken together until they have ``NEW_WORDS`` words that are not
+        known, as a call of the tokenizer for few words costs three times as much a word.
+        """
+        waiting: list[tuple[str, list[str] | None]] = []
+        missing: set[str] = set()
+        held = 0
+        for text in texts:
+            parts = self._words(text)
+            waiting.append((text, parts))
+            if parts:
+                held += len(parts)
+                missing.update(set(parts).difference(self.words))
+            if len(missing) >= NEW_WORDS or held >= HELD_WORDS:
+                yield from self._encoded(waiting, missing, end)
+                waiting, missing, held = [], set(), 0
+        yield from self._encoded(waiting, missing, end)
+
+    def _encoded(self, waiting: list[tuple[str, list[str] | None]], missing: set[str], end: bytes) -> Iterator[np.ndarray]:
+        if len(self.words) + len(missing) > WORD_CACHE:
+            self.aged, self.words = self.words, {}
+            missing = {w for _, parts in waiting for w in parts or ()}
+        self._learn(missing)
+        for text, parts in waiting:
+            if parts is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield np.frombuffer(np.asarray(ids, "<u4").tobytes() + end, "<u4")
+            else:
+                yield np.frombuffer(b"".join(map(self.words.__getitem__, parts)) + end, "<u4")
+
+    def encode(self, text: str, end: bytes) -> np.ndarray:
+        """As ``encode_all``, for one text."""
+        return next(self.encode_all([text], end))
 
 
 @lru_cache(maxsize=2)
@@ -202,9 +236,10 @@ def pack_documents(
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                made = words.encode_all([x or "" for x in part.column(1).to_pylist()], end)
+                for key, some in zip(part.column(0).to_pylist(), made, strict=True):
                     keys.append(key)
-                    ids.append(words.encode(text or "", end))
+                    ids.append(some)
                     tokens += len(ids[-1])
                     if tokens >= BLOCK_TOKENS:
                         yield from flush()
